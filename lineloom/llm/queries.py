@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, pii
+from . import bpe, decontaminate, jaccard, pii
 from .common import table
 
 
@@ -24,6 +24,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies, on the driver and on each executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def joined_sha256(ids: str) -> Column:
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, offsets_col=None).drop("text")
+    decoded = bpe.decode(encoded, path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "class_id")
