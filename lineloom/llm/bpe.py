@@ -159,11 +159,11 @@ class Codec:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = array("i"), array("q", [0])
 
-    def _add(self, piece: bytes) -> int:
-        self.ids.extend(self.merge(piece))  # pair merging by ranks, compiled
-        self.ends.append(len(self.ids))
-        self.known[piece] = at = len(self.ends) - 2
-        return at
+    def learn(self, pieces: list[bytes]) -> None:
+        for piece in pieces:
+            self.ids.extend(self.merge(piece))  # pair merging by ranks, compiled
+            self.ends.append(len(self.ids))
+            self.known[piece] = len(self.ends) - 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, where each text's ids begin (and the end), and the byte in its text at which each id begins."""
@@ -177,11 +177,11 @@ class Codec:
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))) if len(data) > len(points) else np.arange(len(points) + 1)
         starts = piece_starts(symbols(points, np.unique(bounds[:-1][sizes > 0])))
         cuts = at[np.append(starts, len(points))].tolist()
-        known, add = self.known, self._add
-        if len(known) > CACHED:
+        if len(self.known) > CACHED:
             self.forget()
-            known = self.known
-        index = np.array([k if (k := known.get(p := data[a:b])) is not None else add(p) for a, b in zip(cuts, cuts[1:], strict=False)])
+        pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.learn(list(set(pieces) - self.known.keys()))
+        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         ends = np.frombuffer(self.ends, np.int64).copy()
         ids, piece_at = gather(np.frombuffer(self.ids, np.int32).copy(), ends, index)
         first = piece_at[np.searchsorted(starts, bounds)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, pii, toxicity
+from . import bpe, decontaminate, jaccard, pii, rans, toxicity
 from .common import table
 
 
@@ -54,6 +54,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = rans.new_folder(spark)
+    rans.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
+    return rans.checksums(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
