@@ -9,9 +9,10 @@ are then sifted by the Hamming distance of a 512-bit parity sketch, which is als
 difference, and verified with the sets themselves.
 
 No group is expanded into all its pairs: equal sets become one class first; in a group that shares a piece each
-class is first compared with one pivot, and further pivots follow only where a group still holds several
-components. When few enough pairs are left, or after MAX_ROUNDS, all pairs from different components of a group
-are compared, so that no link between different components is missed. Components grow by large-star and
+class is first compared with one pivot. Where a group still holds several components, their classes' sketches are
+compared in place; in the first rounds only pairs that connect what the sketches allow to link are verified (at
+most one a class), in the last round all of them that still lie in different components, so that no link between
+different components is missed. Components grow by large-star and
 small-star steps over tables in the shared folder.
 
 Defined results: texts that are null or hold no words have 0 shingles and stay alone; equal rows and rows that
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import materialize, row_key
 from .shingles import mix, shingle_sets
 
-MAX_ROUNDS = 6
+MAX_ROUNDS = 3
+#: Rows of a group that are compared with each other in one go.
+CHUNK_ROWS = 2048
 SKETCH_WORDS = 8
 
 
@@ -152,6 +155,90 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, de
     return near.join(left, "a").join(right, "b").filter(both * den >= (F.col("total") - both) * num).select("a", "b")
 
 
+def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: int | None) -> DataFrame:
+    """a, b: pairs in a group (members: key, cid, up, root, size) from different components that sizes and sketches allow to link.
+
+    forest: of each group only so many pairs as connect what they can connect, in an order that differs by this number.
+    Large groups are dealt into chunks, and each pair of chunks is compared by itself, so that no task gets a large group.
+    """
+    chunks = F.ceil(F.col("size") / CHUNK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("cid"), chunks).cast("int")
+    dealt = members.select("key", "cid", "up", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "up", "root", "own")
+    rows = dealt.join(classes.select("cid", "n", "sketch"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    salt = np.uint64((forest or 0) * 0x9E3779B97F4A7C15 % (1 << 64))
+
+    def compare(g: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of places a, b may link."""
+        n_a, n_b = g["n"][a], g["n"][b]
+        fits = (g["root"][a] != g["root"][b]) & (g["up"][a] + g["up"][b] < 2) & (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & ((g["own"][a] != g["own"][b]) | (g["i"][a] == g["j"][a]))
+        at = np.flatnonzero(fits)
+        apart = np.bitwise_count(g["sketch"][a[at]] ^ g["sketch"][b[at]]).sum(axis=1, dtype=np.int64)
+        fits[at] = apart * (den + num) <= (n_a[at] + n_b[at]) * (den - num)
+        return fits
+
+    def group(g: dict[str, np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        found_a, found_b = [], []
+        for x in range(lo, hi, 32):
+            a, b = (y.ravel() for y in np.meshgrid(np.arange(x, min(x + 32, hi)), np.arange(x, hi), indexing="ij"))
+            a, b = a[a < b], b[a < b]
+            ok = compare(g, a, b)
+            found_a.append(a[ok])
+            found_b.append(b[ok])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if forest is None or len(a) < 2:
+            return a, b
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        kept = []
+        order = np.argsort(mix(g["cid"][a].view(np.uint64) ^ mix(g["cid"][b].view(np.uint64) ^ salt)), kind="stable")
+        for k in order.tolist():
+            one, two = find(int(g["root"][a[k]])), find(int(g["root"][b[k]]))
+            if one != two:
+                parent[one] = two
+                kept.append(k)
+        return a[kept], b[kept]
+
+    def pairs_of(g: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(g["cid"])
+        cut = np.flatnonzero(np.concatenate(([True], (g["key"][1:] != g["key"][:-1]) | (g["i"][1:] != g["i"][:-1]) | (g["j"][1:] != g["j"][:-1]))))
+        ends = np.append(cut[1:], n)
+        two = cut[ends - cut == 2]
+        ok = compare(g, two, two + 1)
+        a, b = [two[ok]], [two[ok] + 1]
+        for lo, hi in zip(cut[ends - cut > 2].tolist(), ends[ends - cut > 2].tolist(), strict=True):
+            x, y = group(g, lo, hi)
+            a.append(x)
+            b.append(y)
+        one, other = g["cid"][np.concatenate(a)], g["cid"][np.concatenate(b)]
+        pairs = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = {c: np.array(batch[c]) for c in ("key", "i", "j", "cid", "up", "root", "own", "n")}
+            g["sketch"] = np.array(batch["sketch"].flatten()).reshape(-1, SKETCH_WORDS).view(np.uint64)
+            if held is not None:
+                g = {c: np.concatenate((held[c], g[c])) for c in g}
+            # the last group may go on in the next batch
+            same = np.flatnonzero((g["key"] == g["key"][-1]) & (g["i"] == g["i"][-1]) & (g["j"] == g["j"][-1]))[0]
+            held = {c: x[same:] for c, x in g.items()}
+            if same:
+                yield pairs_of({c: x[:same] for c, x in g.items()})
+        if held is not None:
+            yield pairs_of(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """node, root: every node of the links with the smallest node that it is connected with."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
@@ -191,33 +278,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     sets = materialize(set_rows(chosen, width).dropDuplicates(["cid"]), "jaccard-sets")
 
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    pairs = members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct()
+    pairs = materialize(members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct(), "jaccard-pairs")
     links = materialize(verified(pairs, classes, sets, num, den), "jaccard-links")
     roots = components(links)
-    left = members
+    left, tried = members, pairs
     for r in range(1, MAX_ROUNDS + 1):
-        # groups that still hold several components; within a group one class stands for each pair of component and side
+        # groups that still hold several components
         placed = left.select("key", "cid", "up").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "up", F.coalesce("root", "cid").alias("root"))
         spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
         left = materialize(placed.join(spread, "key"), "jaccard-left")
-        amount = left.agg(F.count("*").alias("rows"), F.sum("size").alias("pairs")).first()
-        if not amount["rows"]:
+        if left.isEmpty():
             break
-        last = r == MAX_ROUNDS or amount["pairs"] <= 8 * amount["rows"]
-        if last:
-            other = left.select("key", F.col("cid").alias("c2"), F.col("root").alias("r2"), F.col("up").alias("u2"))
-            pairs = left.join(other, "key").filter("cid < c2 and root <> r2 and up + u2 < 2")
-            pairs = pairs.select(*ordered("cid", "c2")).distinct()
-        else:
-            turn = lambda c: F.struct("up", F.xxhash64(F.lit(r), "root"), F.xxhash64(F.lit(r), c), F.col(c).alias("cid"), "root")
-            pivots = left.groupBy("key").agg(F.min(turn("cid")).alias("p"))
-            pairs = left.join(pivots, "key").filter("root <> p.root").select(*ordered("cid", "p.cid")).distinct()
+        last = r == MAX_ROUNDS
+        found = sifted(left, classes, num, den, forest=None if last else r).join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(found, "jaccard-pairs")
+        tried = tried.unionByName(pairs)
         more = materialize(verified(pairs, classes, sets, num, den), "jaccard-links")
         links = links.unionByName(more)
         if not more.isEmpty():
             roots = components(links)
-        if last:
-            break
 
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "n", "cid", "least_doc", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
