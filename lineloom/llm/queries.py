@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, pii, rans, toxicity
+from . import bpe, decontaminate, jaccard, pii, rans, topk, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[F.col("mentions")[t].alias(f"n_{t}") for t in pii.TYPES])
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op3_exact_top_k": topk.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL}
