@@ -111,6 +111,9 @@ def co_train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     seen = materialize(features(docs, text_col, list(categories), length_col), "cotrain-features")
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     known = seen.join(marks, seen[id_col] == F.col("__id"))
+    total = known.count()
+    share = int(min(1.0, 1.1 * FIT_ROWS / max(total, 1)) * 1_000_000) + 1
+    known = known.filter(F.pmod(F.xxhash64("__id", "view_text"), F.lit(1_000_000)) < share)
     rows = known.select("view_text", "view_meta", "__label", (F.pmod(F.xxhash64("__id"), F.lit(5)) == 0).alias("apart")).orderBy(F.xxhash64("__id", "view_text")).limit(FIT_ROWS).collect()
     own, apart = [r for r in rows if not r["apart"]], [r for r in rows if r["apart"]]
     if any(len({r["__label"] for r in part}) < 2 for part in (own, apart)):
