@@ -18,7 +18,7 @@ def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False)
     """A linear-time regular expression with Unicode classes in Java's dialect."""
     if re.search(r"(?<!\\)\(\?(?:=|!|<=|<!)", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
         raise ValueError(f"look-around and back-references are not supported: {pattern}")
-    out = pattern.replace("(?P<", "(?<").replace(r"\/", "/").replace(r"\z", r"\z")
+    out = pattern.replace("(?P<", "(?<").replace(r"\/", "/")
     return f"(?U{'i' if ignore_case else ''}{'m' if multiline else ''}){out}"
 
 
@@ -95,7 +95,7 @@ def replace_first(text: Column, pattern: str, template: str, ignore_case: bool =
         if isinstance(p, str) and p.startswith("\0"):
             p = names.get(p[1:], n + 1)
         if isinstance(p, int):
-            made.append(F.regexp_extract(text, f"(?s)^.*?(?:{regex})", 0) if False else F.regexp_extract(text, regex, 0) if p == 0 else F.regexp_extract(text, whole, p + 1) if p <= n else F.lit(""))
+            made.append(F.regexp_extract(text, regex, 0) if p == 0 else F.regexp_extract(text, whole, p + 1) if p <= n else F.lit(""))
         else:
             made.append(F.lit(p))
     made.append(F.regexp_extract(text, whole, n + 2))
