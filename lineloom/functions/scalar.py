@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text_rules import replace_all, replace_first
 
@@ -125,7 +126,7 @@ def rot13(x: Column) -> Column:
     return F.translate(x, a + a.upper(), a[13:] + a[:13] + a[13:].upper() + a[:13].upper())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quoted_printable(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else quopri.encodestring(t.encode()).decode())
 
@@ -139,7 +140,7 @@ def run_lengths(x: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.regexp_replace(x, r"(?s)(.)\1*", "$0\u0001"), "\u0001", -1), ""), lambda r: F.struct(F.left(r, F.lit(1)).alias("char"), F.length(r).alias("n")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compression_ratio(x: pd.Series) -> pd.Series:
     """Compressed over plain bytes."""
     return x.map(lambda t: None if t is None else len(zlib.compress(t.encode())) / max(1, len(t.encode())))
@@ -247,14 +248,14 @@ SCRIPTS = {"Latin": r"\p{IsLatin}0-9", "Greek": r"\p{IsGreek}", "Cyrillic": r"\p
 
 def normalized(form: str):
     """A function to NFC, NFD, NFKC or NFKD."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def f(x: pd.Series) -> pd.Series:
         return x.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
     return f
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def transliterated(x: pd.Series) -> pd.Series:
     """Letters without their marks; what has no plain form stays."""
     table = str.maketrans(LETTERS)

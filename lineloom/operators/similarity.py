@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: FNV-1a.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -35,7 +36,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash(parts: pd.Series) -> pd.Series:
     """Of an array of shingles, repeats included, as a signed number."""
     def one(items) -> int:
@@ -50,7 +51,7 @@ def simhash(parts: pd.Series) -> pd.Series:
 
 def minhash(count: int = 100):
     """A function of an array of shingles: the least hash by each of count seeds, as signed numbers (unsigned order)."""
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(parts: pd.Series) -> pd.Series:
         seeds = np.arange(count, dtype=np.uint64) ^ np.uint64(BASIS)
 
@@ -100,7 +101,7 @@ def _jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -126,7 +127,7 @@ def bounded_levenshtein(a: Column, b: Column, most: int) -> Column:
     return F.nullif(F.levenshtein(a, b, most), F.lit(-1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edits, with swaps of neighbours as one."""
     def one(x: str, y: str) -> int:

@@ -53,7 +53,7 @@ def aggregate(df: DataFrame, column: str, function: str) -> DataFrame:
 
 def from_csv(lines: DataFrame, column: str, header: list[str], separator: str = ",") -> DataFrame:
     """Plain comma splitting, trimmed, all text; a row of another width is an error."""
-    parts = F.transform(F.split(column, separator.replace("|", r"\|"), -1), F.trim)
+    parts = F.transform(F.split(column, separator.replace("|", r"\|"), -1), lambda x: F.trim(x))
     checked = F.when(F.size(parts) == len(header), parts).otherwise(F.raise_error(F.concat(F.lit("row of another width: "), F.col(column))))
     return lines.select(checked.alias("_p")).select(*[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate(header)])
 

@@ -1,0 +1,524 @@
+"""Every query of the library over the standard tables, beside SQL for those that it can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import graph, logs, records, rules, search, similarity, spans, table, text, timeline, transform
+from ..sources import lines as sources
+from .compiler import query
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def add(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = " ".join(sql.split("\n"))
+        return f
+
+    return put
+
+
+#: The lines of all documents in SQL, numbered from 1.
+LINES = r"""raw AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END AS t FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS c FROM (SELECT doc_id, string_split(t, chr(10)) AS p FROM raw))"""
+#: Events and line items as delimited lines.
+EVENT_SQL = "e AS (SELECT event_id, event_type || ',' || user_id || ',' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS c, event_type AS f1, CAST(user_id AS VARCHAR) AS f2, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS f3 FROM events)"
+ITEM_SQL = "i AS (SELECT l_returnflag AS f1, l_linestatus AS f2, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS f3, l_orderkey AS k FROM lineitem)"
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> sources.Lines:
+    return sources.from_table(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> sources.Lines:
+    value = F.round(F.col("value") * 100).cast("long").cast("string")
+    return sources.from_column(read(spark, sf_dir, "events"), "event_id", F.concat_ws(",", "event_type", F.col("user_id").cast("string"), value))
+
+
+def item_lines(spark: SparkSession, sf_dir: str) -> sources.Lines:
+    df = read(spark, sf_dir, "lineitem").withColumn("k", F.struct("l_orderkey", "l_linenumber"))
+    content = F.concat_ws(",", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").cast("string"))
+    cut = df.select(F.col("l_orderkey").alias("_o0"), F.col("l_linenumber").alias("_o1"), content.alias("content"))
+    return sources._numbered(cut, F.lit(""))
+
+
+def placed(found: sources.Lines) -> DataFrame:
+    """doc_id, line, content."""
+    return found.df.select(F.col("_o0").alias("doc_id"), F.col("source_line").alias("line"), "content")
+
+
+def on_documents(name: str, text_: str, sql: str, shape=placed) -> None:
+    add(name, f"WITH {LINES} {sql}")(lambda spark, d: shape(query(document_lines(spark, d), text_)))
+
+
+def only_content(found: sources.Lines) -> DataFrame:
+    return found.df.select("content")
+
+
+ROWS = "SELECT doc_id, n AS line, c AS content FROM l"
+on_documents("find_literal", 'find "the"', ROWS + " WHERE contains(c, 'the')")
+on_documents("find_literal_count", 'find "the" | count', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(c, 'the')", only_content)
+on_documents("find_regex", "find /[0-9]{3,}/", ROWS + " WHERE regexp_matches(c, '[0-9]{3,}')")
+on_documents("find_ignore_case", 'find "THE" ignore_case | count', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(lower(c), 'the')", only_content)
+on_documents("find_whole_word", 'find "example" whole_word', ROWS + r" WHERE regexp_matches(c, '(^|[^\p{L}\p{N}_\p{M}])example($|[^\p{L}\p{N}_\p{M}])')")
+on_documents("find_invert", 'find "e" invert', ROWS + " WHERE NOT contains(c, 'e')")
+on_documents("find_only_match", "find /[0-9]+/ only_match", r"SELECT doc_id, n AS line, regexp_extract(c, '[0-9]+') AS content FROM l WHERE regexp_matches(c, '[0-9]+')")
+on_documents("find_max", 'find "on" max 25', ROWS + " WHERE contains(c, 'on') ORDER BY doc_id, n LIMIT 25")
+on_documents("find_in_lines", 'find "on" in lines 2 to 4', ROWS + " WHERE contains(c, 'on') AND n BETWEEN 2 AND 4")
+on_documents("replace_all", 'replace /(on)([a-z])/ with "${2}$1" all', r"SELECT doc_id, n AS line, regexp_replace(c, '(on)([a-z])', '\2\1', 'g') AS content FROM l")
+on_documents("replace_first", 'replace /on/ with "<$0>"', r"SELECT doc_id, n AS line, regexp_replace(c, '(on)', '<\1>') AS content FROM l")
+on_documents("delete_lines", "delete lines matching /[0-9]/", ROWS + " WHERE NOT regexp_matches(c, '[0-9]')")
+on_documents("insert_before", 'insert "---" before /[0-9]{4}/ | find "---"', "SELECT doc_id, CAST(0 AS BIGINT) AS line, '---' AS content FROM l WHERE regexp_matches(c, '[0-9]{4}') UNION ALL SELECT doc_id, n, c FROM l WHERE contains(c, '---')")
+on_documents("insert_after", 'insert "+++" after "the" | count', "SELECT CAST(count(*) + count(*) FILTER (contains(c, 'the')) AS VARCHAR) AS content FROM l", only_content)
+on_documents("between_lines", 'find "e" between /[0-9]{3}/ and /[.]$/', "-", placed)
+del SQL["between_lines"]
+on_documents("unique_lines", "unique | count", "SELECT CAST(count(DISTINCT c) AS VARCHAR) AS content FROM l", only_content)
+on_documents("if_else", 'if line contains "zzzzzz" then count else find "the" | count end', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(c, 'the')", only_content)
+on_documents("define_call", 'def f = find "the" | count end | call f', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(c, 'the')", only_content)
+on_documents("sort_take", "sort | take 20", "SELECT c AS content FROM l ORDER BY c, doc_id, n LIMIT 20", only_content)
+on_documents("last_lines", "last 10", ROWS + " ORDER BY doc_id DESC, n DESC LIMIT 10")
+
+
+def on_events(name: str, text_: str, sql: str) -> None:
+    add(name, f"WITH {EVENT_SQL} {sql}")(lambda spark, d: only_content(query(event_lines(spark, d), 'set separator "," | ' + text_)))
+
+
+on_events("select_fields", "select 1, 3", "SELECT f1 || chr(9) || f3 AS content FROM e")
+on_events("filter_number", "filter field 3 > 5000 and field 1 equals \"click\"", "SELECT c AS content FROM e WHERE CAST(f3 AS DOUBLE) > 5000 AND f1 = 'click'")
+on_events("filter_other", 'filter field 1 != "click" or field 2 matches /^1.$/', "SELECT c AS content FROM e WHERE f1 <> 'click' OR regexp_matches(f2, '^1.$')")
+on_events("filter_missing_field", 'filter field 9 != "x" and field 2 not_empty', "SELECT c AS content FROM e")
+on_events("sort_numeric_desc", "sort by field 3 desc numeric | take 30", "SELECT c AS content FROM e ORDER BY CAST(f3 AS DOUBLE) DESC, event_id LIMIT 30")
+on_events("skip_take", "skip 100 | take 50", "SELECT c AS content FROM e ORDER BY event_id LIMIT 50 OFFSET 100")
+on_events("unique_by_field", "unique by field 2", "SELECT c AS content FROM (SELECT *, row_number() OVER (PARTITION BY f2 ORDER BY event_id) AS r FROM e) WHERE r = 1")
+on_events("aggregate_sum", "aggregate sum field 3", "SELECT CAST(CAST(sum(CAST(f3 AS BIGINT)) AS BIGINT) AS VARCHAR) AS content FROM e")
+on_events("aggregate_min", "aggregate min 3", "SELECT CAST(min(CAST(f3 AS BIGINT)) AS VARCHAR) AS content FROM e")
+on_events("aggregate_max", "aggregate max 3", "SELECT CAST(max(CAST(f3 AS BIGINT)) AS VARCHAR) AS content FROM e")
+on_events("aggregate_distinct", "aggregate distinct 1", "SELECT string_agg(f1, ', ' ORDER BY f1) AS content FROM (SELECT DISTINCT f1 FROM e)")
+on_events("aggregate_freq", "aggregate freq 1", """SELECT '{' || string_agg('"' || f1 || '":' || k, ',' ORDER BY f1) || '}' AS content FROM (SELECT f1, count(*) AS k FROM e GROUP BY f1)""")
+on_events("group_count_sum", "group by field 1 aggregate count, sum 3, distinct 2", "SELECT f1 || chr(9) || count(*) || chr(9) || CAST(sum(CAST(f3 AS BIGINT)) AS BIGINT) || chr(9) || count(DISTINCT f2) AS content FROM e GROUP BY f1")
+on_events("group_freq", "group by field 1 aggregate min 3, max 3, freq 2", "SELECT f1 || chr(9) || CAST(min(lo) AS VARCHAR) || chr(9) || CAST(max(hi) AS VARCHAR) || chr(9) || string_agg(f2 || ':' || k, ';' ORDER BY f2) AS content FROM (SELECT f1, f2, count(*) AS k, min(CAST(f3 AS BIGINT)) AS lo, max(CAST(f3 AS BIGINT)) AS hi FROM e GROUP BY f1, f2) GROUP BY f1")
+
+
+@add("aggregate_avg", f"WITH {EVENT_SQL} SELECT round(avg(CAST(f3 AS DOUBLE)), 4) AS mean FROM e")
+def _(spark, d):
+    return only_content(query(event_lines(spark, d), 'set separator "," | aggregate avg 3')).select(F.round(F.col("content").cast("double"), 4).alias("mean"))
+
+
+@add("item_groups", f"WITH {ITEM_SQL} SELECT f1 || chr(9) || count(*) || chr(9) || CAST(sum(CAST(f3 AS BIGINT)) AS BIGINT) AS content FROM i GROUP BY f1")
+def _(spark, d):
+    return only_content(query(item_lines(spark, d), 'set separator "," | group by field 1 aggregate count, sum 3'))
+
+
+# search, transform, records -----------------------------------------------------------------------------------
+
+
+@add("search_matches", f"WITH {LINES}, m AS (SELECT doc_id, n, unnest(regexp_extract_all(c, '[0-9]+')) AS match FROM l) SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, match, count(*) AS k FROM m GROUP BY ALL")
+def _(spark, d):
+    found = search.search(document_lines(spark, d), [search.build("[0-9]+")])
+    return found.groupBy("source_file", "source_line", "match").agg(F.count("*").alias("k"))
+
+
+@add("search_columns", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, CAST(strlen(left(c, instr(c, 'token') - 1)) + 1 AS INTEGER) AS begin, c AS content FROM l WHERE contains(c, 'token')")
+def _(spark, d):
+    found = search.search(document_lines(spark, d), [search.build("^(?:(?!token).)*", "literal"), search.build("token", "literal")])
+    return found.groupBy("source_file", "source_line", "content").agg(F.min("begin").alias("begin"))
+
+
+@add("search_context", f"WITH {LINES} SELECT source_file, source_line, before, after FROM (SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, c, coalesce(lag(c) OVER w, '') AS before, coalesce(lead(c) OVER w, '') AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)) WHERE contains(c, 'license') OR contains(c, 'License')")
+def _(spark, d):
+    found = search.search(document_lines(spark, d), [search.build("license|License")], before=1, after=1)
+    one = lambda c: F.coalesce(F.get(c, F.lit(0))["content"], F.lit(""))
+    return found.select("source_file", "source_line", one("context_before").alias("before"), one("context_after").alias("after")).distinct()
+
+
+@add("search_per_file_max", f"WITH {LINES}, m AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l WHERE contains(c, 'the')) SELECT CAST(doc_id AS VARCHAR) AS source_file, count(*) AS k FROM m WHERE r <= 2 GROUP BY doc_id")
+def _(spark, d):
+    found = search.search(document_lines(spark, d), [search.build("^.*the.*$")], max_per_file=2)
+    return found.groupBy("source_file").agg(F.count("*").alias("k"))
+
+
+@add("search_files_without_match", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file FROM l GROUP BY doc_id HAVING NOT bool_or(contains(c, 'the'))")
+def _(spark, d):
+    return search.files_without_match(document_lines(spark, d), [search.build("the", "literal")])
+
+
+@add("search_count_per_file", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, count(*) AS matches FROM l WHERE contains(c, 'the') GROUP BY doc_id")
+def _(spark, d):
+    return search.count_per_file(document_lines(spark, d), [search.build("the", "literal")])
+
+
+@add("transform_chain", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, translate(regexp_replace(c, 'the', 'THE', 'g'), 'aeiou', 'AEIOU') AS content FROM l WHERE NOT regexp_matches(regexp_replace(c, 'the', 'THE', 'g'), '[0-9]')")
+def _(spark, d):
+    chain = [transform.parse_substitution("s/the/THE/g"), transform.Command("delete", "[0-9]"), transform.Command("transliterate", "aeiou", "AEIOU")]
+    return transform.result(document_lines(spark, d), chain).select("source_file", "source_line", "content")
+
+
+@add("transform_change_log", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, count(*) AS changes FROM l WHERE contains(c, 'the') GROUP BY doc_id")
+def _(spark, d):
+    return transform.totals(document_lines(spark, d), [transform.parse_substitution("s/the/THE/")])
+
+
+@add("records_numbered", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS nr, CAST(len(string_split_regex(trim(c), '\\s+')) AS INTEGER) AS nf FROM l")
+def _(spark, d):
+    return records.records(document_lines(spark, d)).select("source_file", "nr", "nf")
+
+
+@add("records_aggregated", f"WITH {ITEM_SQL} SELECT count(*) AS n, sum(CAST(f3 AS DOUBLE)) AS total, max(CAST(f3 AS DOUBLE)) AS hi, count(*) FILTER (f1 = 'R') AS returned FROM i WHERE CAST(f3 AS DOUBLE) > 10")
+def _(spark, d):
+    lines = query(item_lines(spark, d), 'set separator ","')
+    found = records.records(lines, [records.Rule(condition=(">", 3, 10.0))])
+    return found.agg(records.aggregation("count").alias("n"), records.aggregation("sum", 3).alias("total"), records.aggregation("max", 3).alias("hi"), records.aggregation("count", where=F.col("fields")[0] == "R").alias("returned"))
+
+
+# tables -------------------------------------------------------------------------------------------------------
+
+
+@add("table_join", "SELECT c.c_custkey, c.c_name, n.n_name AS r_n_name, n.n_regionkey AS r_n_regionkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def _(spark, d):
+    return table.inner_join(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), read(spark, d, "nation"), "c_nationkey", "n_nationkey").drop("c_nationkey")
+
+
+@add("table_group", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY o_orderpriority")
+def _(spark, d):
+    return table.group_by(read(spark, d, "orders"), "o_orderpriority", "o_totalprice", "sum").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@add("table_pivot", "SELECT o_orderpriority, max_by(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS F, max_by(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'O') AS O FROM orders GROUP BY o_orderpriority")
+def _(spark, d):
+    return table.pivot(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus", "o_orderkey", F.col("o_orderkey"), ["F", "O"])
+
+
+@add("table_sorted_top", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 40")
+def _(spark, d):
+    return table.sort_by(read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", True, ("c_custkey",)).limit(40)
+
+
+@add("table_filter_eq", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
+def _(spark, d):
+    return table.filter_eq(read(spark, d, "supplier"), "s_nationkey", 3).select("s_suppkey")
+
+
+@add("table_from_csv", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def _(spark, d):
+    rows = table.to_csv(read(spark, d, "nation").select("n_name", "n_regionkey"))
+    return table.from_csv(rows, "value", ["name", "region"])
+
+
+# time and logs ------------------------------------------------------------------------------------------------
+
+_SECONDS = "s AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, event_type FROM events)"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "value", "event_type", "user_id", "event_id")
+
+
+def _bucket_sql(step: int) -> str:
+    return f"{_SECONDS}, f AS (SELECT ts // {step} * {step} AS start, count(*) AS count, sum(value) AS sum, min(value) AS min, max(value) AS max FROM s GROUP BY 1), g AS (SELECT unnest(range((SELECT min(start) FROM f), (SELECT max(start) FROM f) + 1, {step})) AS start), b AS (SELECT start, start + {step} AS end_, coalesce(count, 0) AS count, coalesce(sum, 0) AS sum, coalesce(min, 0) AS min, coalesce(max, 0) AS max FROM g LEFT JOIN f USING (start))"
+
+
+for _name in ("minute", "hour", "day"):
+    add(f"buckets_{_name}", f"WITH {_bucket_sql(timeline.STEPS[_name])} SELECT start, end_ AS \"end\", count, round(sum, 4) AS sum, min, max FROM b")(lambda spark, d, name=_name: timeline.buckets(_events(spark, d), name).withColumn("sum", F.round("sum", 4)))
+
+
+@add("anomalies", f"WITH {_bucket_sql(3600)}, m AS (SELECT avg(count) AS a, stddev_pop(count) AS sd FROM b) SELECT start, count, CASE WHEN count > a THEN 'spike' ELSE 'drop' END AS kind FROM b, m WHERE abs((count - a) / sd) > 2")
+def _(spark, d):
+    return timeline.spikes(timeline.buckets(_events(spark, d), "hour"), 2.0).select("start", "count", "kind")
+
+
+@add("gaps", f"WITH {_bucket_sql(60)}, p AS (SELECT start, lag(end_) OVER (ORDER BY start) AS prev FROM b WHERE count > 0) SELECT prev AS start, start AS \"end\", CAST((start - prev) // 60 AS BIGINT) AS buckets FROM p WHERE (start - prev) / 60 >= 3")
+def _(spark, d):
+    return timeline.gaps(timeline.buckets(_events(spark, d), "minute"))
+
+
+@add("sparkline", f"WITH {_bucket_sql(86400)}, t AS (SELECT max(count) AS top FROM b) SELECT string_agg(('▁▂▃▄▅▆▇█')[CAST(round(count / top * 7) AS INTEGER) + 1], '' ORDER BY start) AS line FROM b, t")
+def _(spark, d):
+    return timeline.sparkline(timeline.buckets(_events(spark, d), "day"))
+
+
+@add("duration_histogram", f"WITH {_SECONDS}, dd AS (SELECT CAST(ts - lag(ts) OVER (ORDER BY ts) AS DOUBLE) AS x FROM s), r AS (SELECT min(x) AS lo, max(x) AS hi FROM dd) SELECT CAST(least(floor((x - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM dd, r WHERE x IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return timeline.duration_histogram(_events(spark, d), 10).select("bin", "n")
+
+
+@add("cumulative_histogram", "SELECT b AS le, (SELECT count(*) FROM events WHERE value <= CAST(b AS DOUBLE)) AS n FROM (VALUES ('1.0'), ('10.0'), ('50.0'), ('100.0')) v(b) UNION ALL SELECT '+Inf', count(value) FROM events")
+def _(spark, d):
+    return timeline.cumulative_histogram(read(spark, d, "events"), "value", [1.0, 10.0, 50.0, 100.0]).select("le", "n")
+
+
+_LEVELS = {"click": "info", "view": "debug", "purchase": "warn", "signup": "error", "error": "fatal"}
+
+
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv]), F.col("event_type")), F.lit("info"))
+    row = F.struct(level.alias("level"), F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string"), F.lit(" did "), F.col("event_type")).alias("msg"), F.col("event_id").cast("string").alias("id"))
+    content = F.when(F.col("event_id") % 2 == 0, F.to_json(row)).otherwise(F.concat(F.lit("level="), level, F.lit(' msg="user '), (F.col("user_id") % 10).cast("string"), F.lit(" did "), F.col("event_type"), F.lit('" id='), F.col("event_id").cast("string")))
+    return read(spark, d, "events").select("event_id", content.alias("content"))
+
+
+_LOG_SQL = "g AS (SELECT event_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LEVELS.items()) + " ELSE 'info' END AS severity, 'user ' || (user_id % 10) || ' did ' || event_type AS message FROM events)"
+
+
+@add("log_records", f"WITH {_LOG_SQL} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json' ELSE 'key=value' END AS format, severity, message FROM g")
+def _(spark, d):
+    return logs.parse_all(_log_lines(spark, d)).select("event_id", "record.format", "record.severity", "record.message")
+
+
+@add("log_top_messages", f"WITH {_LOG_SQL} SELECT message, count(*) AS n FROM g GROUP BY message ORDER BY n DESC, message LIMIT 10")
+def _(spark, d):
+    return logs.top_messages(logs.parse_all(_log_lines(spark, d)).select("record.*"))
+
+
+@add("log_filter", f"WITH {_LOG_SQL} SELECT event_id FROM g WHERE severity IN ('warn', 'error', 'fatal') AND contains(message, 'user 3')")
+def _(spark, d):
+    return logs.filtered(logs.parse_all(_log_lines(spark, d)).select("event_id", "record.*"), least="warn", contains="user 3", has_field="id").select("event_id")
+
+
+@add("log_alerts", f"WITH {_LOG_SQL}, r(rule, least, has) AS (VALUES ('a', ['warn','error','fatal'], 'user 1'), ('b', ['error','fatal'], 'did')) SELECT rule, count(*) AS n FROM g JOIN r ON list_contains(least, severity) AND contains(message, has) GROUP BY rule")
+def _(spark, d):
+    met = spark.createDataFrame([("a", "warn", "user 1"), ("b", "error", "did")], "name string, least string, contains string")
+    return logs.alerts(logs.parse_all(_log_lines(spark, d)).select("record.*"), met).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+# text ---------------------------------------------------------------------------------------------------------
+
+_WORDS = r"w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[^\p{L}\p{N}''\-]+'), lambda x: x <> '') AS w FROM documents)"
+_ONE = f"{_WORDS}, o AS (SELECT doc_id, lower(unnest(w)) AS word FROM w)"
+
+
+@add("text_stats", f"WITH {_WORDS} SELECT d.doc_id, length(text) AS chars, len(w) AS words, len(list_distinct([lower(x) FOR x IN w])) AS unique_words, round(CASE WHEN len(w) > 0 THEN list_sum([strlen(x) FOR x IN w]) / len(w) ELSE 0 END, 6) AS avg_word_bytes FROM documents d JOIN w ON d.doc_id = w.doc_id")
+def _(spark, d):
+    found = text.stats(read(spark, d, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"), F.col("unique_words").cast("long").alias("unique_words"), F.round("avg_word_bytes", 6).alias("avg_word_bytes"))
+
+
+@add("readability")
+def _(spark, d):
+    return text.stats(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "sentences", "paragraphs", "reading_ease", "grade", "ari")
+
+
+@add("word_frequency", f"WITH {_ONE} SELECT word, count(*) AS n, round(count(*) / (SELECT count(*) FROM o), 8) AS share FROM o GROUP BY word ORDER BY n DESC, word LIMIT 50")
+def _(spark, d):
+    return text.word_frequency(read(spark, d, "documents"), "text", 50).withColumn("share", F.round("share", 8))
+
+
+@add("word_bigrams", f"WITH {_WORDS}, b AS (SELECT unnest([lower(w[i]) || ' ' || lower(w[i + 1]) FOR i IN range(1, len(w))]) AS ngram FROM w) SELECT ngram, count(*) AS n FROM b GROUP BY ngram ORDER BY n DESC, ngram LIMIT 50")
+def _(spark, d):
+    return text.ngrams(read(spark, d, "documents"), "text", 2, 50)
+
+
+@add("zipf", f"WITH {_ONE}, c AS (SELECT word, count(*) AS n FROM o GROUP BY word ORDER BY n DESC, word LIMIT 100) SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS rank, word, n, round(1 / row_number() OVER (ORDER BY n DESC, word), 8) AS expected, round(n / max(n) OVER (), 8) AS actual FROM c")
+def _(spark, d):
+    return text.zipf(read(spark, d, "documents"), "text", 100).withColumn("expected", F.round("expected", 8)).withColumn("actual", F.round("actual", 8))
+
+
+@add("char_classes", r"WITH s AS (SELECT sum(length(text)) AS a, sum(length(regexp_replace(text, '[^\p{L}]', '', 'g'))) AS l, sum(length(regexp_replace(text, '[^\p{N}]', '', 'g'))) AS n, sum(length(regexp_replace(text, '[^\s\p{Z}]', '', 'g'))) AS w, sum(length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g'))) AS p FROM documents) SELECT unnest(['alphabetic', 'numeric', 'whitespace', 'punctuation', 'other']) AS class, CAST(unnest([l, n, w, p, a - l - n - w - p]) AS BIGINT) AS n FROM s")
+def _(spark, d):
+    return text.char_classes(read(spark, d, "documents"), "text")
+
+
+@add("char_entropy", "WITH c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS x FROM documents) WHERE x <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS s FROM c GROUP BY doc_id) SELECT c.doc_id, round(-sum(n / s * log2(n / s)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY c.doc_id")
+def _(spark, d):
+    return text.entropy(read(spark, d, "documents"), "doc_id", "text").withColumn("entropy", F.round("entropy", 6))
+
+
+_TFIDF = r"t AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 2)) AS term FROM documents), c AS (SELECT id, term, count(*) AS c FROM t GROUP BY ALL), m AS (SELECT id, max(c) AS most FROM c GROUP BY id), f AS (SELECT term, ln((SELECT count(*) FROM m) / count(*)) + 1 AS idf FROM c GROUP BY term), v AS (SELECT id, term, c / most AS tf, idf, c / most * idf AS weight FROM c JOIN m USING (id) JOIN f USING (term))"
+
+
+@add("tf_idf", f"WITH {_TFIDF} SELECT id, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM v GROUP BY id")
+def _(spark, d):
+    weights = text.tf_idf(read(spark, d, "documents"), "doc_id", "text")
+    return weights.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+
+
+@add("tf_idf_search", f"WITH {_TFIDF}, q(term) AS (VALUES ('the'), ('license'), ('token')), qv AS (SELECT term, coalesce((SELECT max(idf) FROM f WHERE f.term = q.term), ln((SELECT count(*) FROM m)) + 1) AS w FROM q), s AS (SELECT v.id, sum(v.weight * qv.w) / (sqrt(any_value(n.n2)) * (SELECT sqrt(sum(w * w)) FROM qv)) AS score FROM v JOIN qv USING (term) JOIN (SELECT id, sum(weight * weight) AS n2 FROM v GROUP BY id) n ON n.id = v.id GROUP BY v.id) SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 10")
+def _(spark, d):
+    return text.tf_idf_search(read(spark, d, "documents"), "doc_id", "text", "the license token", 10).withColumn("score", F.round("score", 6))
+
+
+@add("detections", r"SELECT 'email' AS detector, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS texts FROM documents UNION ALL SELECT 'aws_key', count(*) FILTER (regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')) FROM documents UNION ALL SELECT 'url', count(*) FILTER (regexp_matches(text, 'https?://[^\s<>""]+')) FROM documents")
+def _(spark, d):
+    chosen = {k: rules.DETECTORS[k] for k in ("email", "aws_key", "url")}
+    return rules.detections(read(spark, d, "documents"), "text", chosen).select("detector", "texts")
+
+
+@add("redacted", r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS text_sha256 FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(rules.redacted(F.col("text"), "full", {"email": rules.DETECTORS["email"]}), 256).alias("text_sha256"))
+
+
+@add("lint", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, 'long_line' AS rule FROM l WHERE strlen(c) > 2000 UNION ALL SELECT CAST(doc_id AS VARCHAR), n, 'trailing_whitespace' FROM l WHERE regexp_matches(c, '[ \t]+$')")
+def _(spark, d):
+    return rules.lint(document_lines(spark, d).rows(), long=2000).filter("rule in ('long_line', 'trailing_whitespace')")
+
+
+@add("rewritten", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, CASE WHEN n BETWEEN 1 AND 2 THEN replace(replace(c, 'the', 'THE'), 'on', 'ON') ELSE replace(c, 'the', 'THE') END AS content FROM l")
+def _(spark, d):
+    chosen = [rules.Rewrite("the", "THE"), rules.Rewrite("on", "ON", "lines", (1, 2))]
+    return document_lines(spark, d).rows().select("source_file", "source_line", rules.rewritten(chosen).alias("content"))
+
+
+@add("rule_engine", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, CASE WHEN contains(c, 'the') THEN '>> ' || c ELSE c END AS result, CASE WHEN regexp_matches(c, '[0-9]{{4}}') THEN 1 ELSE 0 END AS tagged FROM l WHERE NOT contains(c, 'zqz')")
+def _(spark, d):
+    chosen = [rules.Rule("u", ("contains", "the"), ("prefix", ">> "), 2), rules.Rule("n", ("matches", "[0-9]{4}"), ("tag", "number"), 1), rules.Rule("x", ("contains", "zqz"), ("drop",))]
+    done = rules.engine(document_lines(spark, d).rows(), chosen).filter("result is not null")
+    return done.select("source_file", "source_line", "result", F.size("tags").alias("tagged"))
+
+
+@add("state_machine")
+def _(spark, d):
+    moves = [rules.Transition("idle", "purchase", "bought", "sale"), rules.Transition("bought", "error", "failed", "loss"), rules.Transition("failed", ".", "idle"), rules.Transition("bought", "click", "idle")]
+    return rules.machine(read(spark, d, "events"), "user_id", "event_id", "event_type", "idle", moves)
+
+
+@add("cooccurrence", f"WITH {_WORDS}, p AS (SELECT unnest([lower(x) FOR x IN w]) AS a, unnest(range(1, len(w) + 1)) AS i, doc_id FROM w), q AS (SELECT least(x.a, y.a) AS a, greatest(x.a, y.a) AS b FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i IN (x.i + 1, x.i + 2) AND x.a <> y.a) SELECT a, b, count(*) AS weight FROM q GROUP BY a, b")
+def _(spark, d):
+    return graph.cooccurrence(read(spark, d, "documents"), "text", 2)
+
+
+@add("pagerank")
+def _(spark, d):
+    edges = graph.cooccurrence(read(spark, d, "benchmark"), "text", 2)
+    return graph.pagerank(graph.both_ways(edges), iterations=10)
+
+
+@add("degree_centrality")
+def _(spark, d):
+    return graph.degree_centrality(graph.cooccurrence(read(spark, d, "benchmark"), "text", 1))
+
+
+@add("closure", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
+def _(spark, d):
+    one = read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"))
+    two = read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b"))
+    return graph.closure(one.union(two))
+
+
+@add("label_kappa", "WITH p AS (SELECT quality AS a, 1 - toxic AS b FROM labels), o AS (SELECT avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)) AS pe FROM p) SELECT round((po - pe) / (1 - pe), 6) AS kappa FROM o")
+def _(spark, d):
+    return spans.kappa(F.col("quality"), 1 - F.col("toxic"), read(spark, d, "labels")).select(F.round("kappa", 6).alias("kappa"))
+
+
+_SPANS = "s AS (SELECT event_id AS id, user_id AS doc_id, event_type AS label, CAST(floor(value * 10) AS BIGINT) AS start, CAST(floor(value * 10) AS BIGINT) + 1 + event_id % 7 AS stop FROM events)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    start = F.floor(F.col("value") * 10)
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("doc_id"), F.col("event_type").alias("label"), start.alias("start"), (start + 1 + F.col("event_id") % 7).alias("end"))
+
+
+@add("span_overlaps", f"WITH {_SPANS} SELECT a.doc_id, a.id AS a, b.id AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id AND a.start < b.stop AND b.start < a.stop")
+def _(spark, d):
+    return spans.overlaps(_spans(spark, d))
+
+
+@add("spans_merged", f"WITH {_SPANS}, o AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, label ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s), i AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label ORDER BY start, stop) AS k FROM o) SELECT doc_id, label, min(start) AS start, max(stop) AS \"end\" FROM i GROUP BY doc_id, label, k")
+def _(spark, d):
+    return spans.merged(_spans(spark, d))
+
+
+# fingerprints and fuzzy matching ------------------------------------------------------------------------------
+
+
+@add("shingle_jaccard", r"WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark), w AS (SELECT item_id, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM b), s AS (SELECT item_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM w) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON b.item_id = a.item_id + 1")
+def _(spark, d):
+    s = read(spark, d, "benchmark").select("item_id", similarity.shingles(F.col("text"), 2).alias("s"))
+    two = s.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("t"))
+    return s.join(two, "item_id").select(F.col("item_id").alias("a"), "b", F.round(similarity.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+
+
+@add("simhash")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", similarity.simhash(similarity.shingles(F.col("text"), 3)).alias("fingerprint"))
+
+
+@add("minhash")
+def _(spark, d):
+    return read(spark, d, "benchmark").select("item_id", similarity.minhash(32)(similarity.shingles(F.col("text"), 3)).alias("signature"))
+
+
+@add("fuzzy_search")
+def _(spark, d):
+    return similarity.fuzzy_search(read(spark, d, "nation"), "n_name", "germony")
+
+
+@add("levenshtein", "SELECT p_partkey, CASE WHEN levenshtein(p_name, p_type) <= 12 THEN levenshtein(p_name, p_type) END AS distance FROM part WHERE levenshtein(p_name, p_type) <= 12")
+def _(spark, d):
+    return read(spark, d, "part").select("p_partkey", similarity.bounded_levenshtein(F.col("p_name"), F.col("p_type"), 12).cast("long").alias("distance")).filter("distance is not null")
+
+
+@add("damerau_levenshtein", "SELECT n_nationkey, damerau_levenshtein(n_name, reverse(n_name)) AS distance FROM nation")
+def _(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", similarity.damerau_levenshtein(F.col("n_name"), F.reverse("n_name")).cast("long").alias("distance"))
+
+
+@add("spell_suggestions")
+def _(spark, d):
+    said = read(spark, d, "documents").select(F.explode(text.words(F.lower("text"))).alias("word")).filter("length(word) between 4 and 7").groupBy("word").agg(F.count("*").alias("n"))
+    return similarity.suggestions(said.filter("n = 1").select("word"), said.filter("n >= 50").select("word"), most=1)
+
+
+# scalar functions ---------------------------------------------------------------------------------------------
+
+
+@add("codecs", "SELECT doc_id, to_base64(encode(left(text, 60))) AS b64, lower(hex(encode(left(text, 60)))) AS hexed, url_encode(left(text, 60)) AS url FROM documents")
+def _(spark, d):
+    t = F.left("text", F.lit(60))
+    return read(spark, d, "documents").select("doc_id", scalar.base64_encode(t).alias("b64"), scalar.hex_encode(t).alias("hexed"), scalar.url_encode(t).alias("url"))
+
+
+@add("url_parts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
+def _(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", *[F.coalesce(scalar.url_part(u, n), F.lit("")).alias(n) for n in ("scheme", "host", "path")])
+
+
+@add("validators", "SELECT count(*) FILTER (regexp_matches(url, '^[a-z][a-z0-9+.-]*://[^\\s/?#]+[^\\s]*$')) AS urls FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").agg(F.count_if(scalar.is_valid(F.col("url"), "url")).alias("urls"))
+
+
+@add("case_styles", "SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, replace(lower(p_type), ' ', '-') AS kebab, upper(replace(p_type, ' ', '_')) AS screaming FROM part")
+def _(spark, d):
+    return read(spark, d, "part").select("p_partkey", *[scalar.cased(F.lower("p_type"), s).alias(s) for s in ("snake", "kebab", "screaming")])
+
+
+@add("dates", "SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dow, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders")
+def _(spark, d):
+    o = F.col("o_orderdate")
+    return read(spark, d, "orders").select("o_orderkey", F.dayofyear(o).alias("doy"), scalar.day_of_week(o).alias("dow"), scalar.days_in_month(o).alias("days"))
+
+
+@add("scripts")
+def _(spark, d):
+    return read(spark, d, "documents").groupBy("lang", scalar.script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+
+
+# samples ------------------------------------------------------------------------------------------------------
+
+
+@add("sample_systematic", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events) WHERE r % 100 = 7")
+def _(spark, d):
+    return spans.systematic(read(spark, d, "events"), 100, 7, "event_id").select("event_id")
+
+
+@add("sample_stratified")
+def _(spark, d):
+    return spans.stratified(read(spark, d, "events"), "event_type", 20, 1, "event_id").select("event_id", "event_type")
+
+
+@add("sample_weighted")
+def _(spark, d):
+    return spans.weighted(read(spark, d, "documents"), F.octet_length("text") + 1, 50, 1, "doc_id").select("doc_id")

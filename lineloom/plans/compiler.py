@@ -97,7 +97,7 @@ def _scoped(lines: Lines, a: dict, base: Column) -> tuple[Lines, Column]:
 
 def on_find(lines: Lines, a: dict) -> Lines:
     found = matches(a["pattern"], F.col("content"), a.get("ignore_case", False), a.get("whole_word", False))
-    lines, hit = _scoped(lines, {k: v for k, v in a.items() if k != "x"}, ~found if a.get("invert") else found)
+    lines, hit = _scoped(lines, a, ~found if a.get("invert") else found)
     lines = replace(lines.keep(hit), df=lines.keep(hit).df.drop("_in"))
     if a.get("only_match") and not a.get("invert"):
         regex = java_regex(regex_of(a["pattern"], a.get("whole_word", False)), a.get("ignore_case", False))
