@@ -16,7 +16,6 @@ come first; rows that repeat an id are ordered by their text's hash; other colum
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -160,24 +159,25 @@ def decode_segment(payload: bytes) -> np.ndarray:
     return present[np.concatenate(out)].astype(np.uint32)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next free one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class LibraryCodec(Codec):
-    """Pieces that aren't known yet go through the tokenizers library, as one batch."""
+    """Pieces that aren't known yet go through the BPE model of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        model, letters = self.tokenizer.model, _byte_letters()
+        self.merge = lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
         self.offsets = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         self.forget()
 
-    def learn(self, pieces: list[bytes]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False), strict=True):
-            self.ids.extend(found.ids)
-            self.ends.append(len(self.ids))
-            self.known[piece] = len(self.ends) - 2
-
 
 @cache
 def library_codec(path: str) -> LibraryCodec:
