@@ -180,7 +180,7 @@ class Codec:
         if len(self.known) > CACHED:
             self.forget()
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.learn(list(set(pieces) - self.known.keys()))
+        self.learn([p for p in set(pieces) if p not in self.known])
         index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         ends = np.frombuffer(self.ends, np.int64).copy()
         ids, piece_at = gather(np.frombuffer(self.ids, np.int32).copy(), ends, index)
