@@ -110,23 +110,49 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
 
 
-def _digests(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+def _classes(sets: list[np.ndarray], salt: int) -> list[bytes]:
+    return [hashlib.blake2b(s.tobytes(), digest_size=24, salt=salt.to_bytes(8, "little")).digest() for s in sets]
 
 
-def sketch_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc, row_key, n, digest (of the set), sketch, own, up (keys of pieces): a row for each row of docs."""
+def _class_ids(names: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(d[:8], "little", signed=True) for d in names], np.int64)
+
+
+def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
+    """doc, row_key, n, cid, digest (both of the set), sketch: a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
             for at, sets in shingle_sets(batch["t"], width):
-                own = batch.slice(at, len(sets))
-                sketch = list(parity_sketches(sets))
-                yield pa.RecordBatch.from_arrays([own["doc"], own["row_key"], pa.array([len(s) for s in sets], pa.int64()), _digests(sets), _lists(sketch), _lists(piece_keys(sets, bands, False)), _lists(piece_keys(sets, bands, True))], names=["doc", "row_key", "n", "digest", "sketch", "own", "up"])
+                own, names = batch.slice(at, len(sets)), _classes(sets, salt)
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(_class_ids(names)), pa.array([d[8:] for d in names], pa.binary()), _lists(list(parity_sketches(sets)))]
+                yield pa.RecordBatch.from_arrays([own["doc"], own["row_key"], *made], names=["doc", "row_key", "n", "cid", "digest", "sketch"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, row_key long, n long, digest binary, sketch array<long>, own array<long>, up array<long>")
+    return docs.mapInArrow(run, f"doc {kind}, row_key long, n long, cid long, digest binary, sketch array<long>")
+
+
+def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
+    """key, cid, up: the pieces of every class, in its own band and (up = 1) as seen from the next. A task tells the copies of a set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        told: set[int] = set()
+        for batch in batches:
+            for _, sets in shingle_sets(batch["t"], width):
+                new = []
+                for k, c in enumerate(_class_ids(_classes(sets, salt)).tolist()):
+                    if c not in told:
+                        told.add(c)
+                        new.append((k, c))
+                sets, ids = [sets[k] for k, _ in new], np.array([c for _, c in new], np.int64)
+                for up in (0, 1):
+                    keys = piece_keys(sets, bands, bool(up))
+                    if sum(map(len, keys)):
+                        flat = np.concatenate(keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, [len(k) for k in keys])), pa.array(np.full(len(flat), up, np.int8))], names=["key", "cid", "up"])
+
+    return docs.mapInArrow(run, "key long, cid long, up byte")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -144,12 +170,16 @@ def _hamming(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of those pairs whose sets link. A pair's cost doesn't depend on how many share its pivot, and skewed keys are split."""
+def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, total of those pairs whose sizes and sketches allow a link."""
     one, two = (classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     total = F.col("n_a") + F.col("n_b")
     near = pairs.join(one, "a").join(two, "b").filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (_hamming("s_a", "s_b") * (den + num) <= total * (den - num)))
-    near = near.select("a", "b", total.alias("total"))
+    return near.select("a", "b", total.alias("total"))
+
+
+def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of those pairs whose sets link. A pair's cost doesn't depend on how many share its pivot, and skewed keys are split."""
     left, right = (sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
     both = F.size(F.array_intersect("h_a", "h_b"))
     return near.join(left, "a").join(right, "b").filter(both * den >= (F.col("total") - both) * num).select("a", "b")
@@ -257,29 +287,45 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, row_key, n_shingles, class_id, component_id: a row for each row of docs.
+    """doc, row_key, n_shingles, class_id, component_id, component: a row for each row of docs.
 
-    class_id numbers the different sets; null for empty ones. Rows link when den * intersection >= num * union.
+    class_id names the different sets, component the connected ones (ids alone can't, where they repeat); null for empty sets. Rows link when den * intersection >= num * union.
     """
     texts = docs.select(F.col(id_col).alias("doc"), row_key(F.col(text_col)).alias("row_key"), F.col(text_col).alias("t"))
-    rows = materialize(sketch_rows(texts, width, num, den), "jaccard-rows")
-    fit = rows.filter("n > 0")
-    # one class for all rows with the same set; a class is represented by its first row
-    grouped = fit.groupBy("digest", "n").agg(F.min(F.struct("doc", "row_key")).alias("rep"), F.min("doc").alias("least_doc"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("up").alias("up"))
-    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "jaccard-classes")
+    salt = 0
+    while True:  # a class is known by 64 bits of its set's hash; should two sets share them, others are taken
+        rows = materialize(sketch_rows(texts, width, salt), "jaccard-rows")
+        # one class for all rows with the same set; a class is represented by its first row
+        grouped = rows.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct("doc", "row_key")).alias("rep"), F.min("doc").alias("least_doc"), F.first("sketch").alias("sketch"), (F.min("digest") == F.max("digest")).alias("one"))
+        classes = materialize(grouped, "jaccard-classes")
+        if classes.filter("not one").isEmpty():
+            break
+        salt += 1
+    repeated = not rows.groupBy("doc", "row_key").count().filter("count > 1").isEmpty()
 
     # groups of classes that agree in a piece and hold a class of the piece's own band
-    keyed = classes.select("cid", F.explode("own").alias("key"), F.lit(0).alias("up")).unionByName(classes.select("cid", F.explode("up").alias("key"), F.lit(1).alias("up")))
     by_key = Window.partitionBy("key")
-    grouped = keyed.select("*", F.min(F.struct("up", "cid")).over(by_key).alias("pivot"), F.count("*").over(by_key).alias("size"))
-    members = materialize(grouped.filter("size > 1 and pivot.up = 0").select("key", "cid", "up", F.col("pivot.cid").alias("pivot")), "jaccard-groups")
-    needed = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc").alias("d"), F.col("rep.row_key").alias("k"))
-    chosen = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("cid", "t")
-    sets = materialize(set_rows(chosen, width).dropDuplicates(["cid"]), "jaccard-sets")
+    keyed = key_rows(texts, width, num, den, salt).select("*", F.min(F.struct("up", "cid")).over(by_key).alias("pivot"), F.min("cid").over(by_key).alias("lo"), F.max("cid").over(by_key).alias("hi"))
+    members = materialize(keyed.filter("lo <> hi and pivot.up = 0").select("key", "cid", "up", F.col("pivot.cid").alias("pivot")), "jaccard-groups")
+
+    held: list[DataFrame] = []  # the sets that were needed so far
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        for h in held:
+            needed = needed.join(h.select("cid"), "cid", "left_anti")
+        needed = materialize(needed.join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc").alias("d"), F.col("rep.row_key").alias("k")), "jaccard-needed")
+        chosen = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("cid", "t")
+        held.append(materialize(set_rows(chosen.dropDuplicates(["cid"]) if repeated else chosen, width), "jaccard-sets"))
+        return reduce(DataFrame.unionByName, held)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = materialize(possible(pairs, classes, num, den), "jaccard-near")
+        return materialize(verified(near, sets_of(near), num, den), "jaccard-links")
 
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     pairs = materialize(members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct(), "jaccard-pairs")
-    links = materialize(verified(pairs, classes, sets, num, den), "jaccard-links")
+    links = linked(pairs)
     roots = components(links)
     left, tried = members, pairs
     for r in range(1, MAX_ROUNDS + 1):
@@ -293,17 +339,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         found = sifted(left, classes, num, den, forest=None if last else r).join(tried, ["a", "b"], "left_anti")
         pairs = materialize(found, "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        more = materialize(verified(pairs, classes, sets, num, den), "jaccard-links")
+        more = linked(pairs)
         links = links.unionByName(more)
         if not more.isEmpty():
             roots = components(links)
 
-    placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "n", "cid", "least_doc", F.coalesce("root", "cid").alias("root"))
+    placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least_doc", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    final = placed.join(least, "root").select("digest", "n", F.col("cid").alias("class_id"), "component_id")
-    out = rows.select("doc", "row_key", F.col("n").alias("n_shingles"), "digest").join(final.select("digest", "class_id", "component_id"), "digest", "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return out.select("doc", "row_key", "n_shingles", "class_id", alone.alias("component_id"))
+    final = placed.join(least, "root").select(F.col("cid").alias("class_id"), "component_id", F.col("root").alias("component"))
+    out = rows.withColumn("cid", F.when(F.col("n") > 0, F.col("cid"))).join(final, F.col("cid") == F.col("class_id"), "left")
+    alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
+    return out.select("doc", "row_key", F.col("n").alias("n_shingles"), "class_id", alone.alias("component_id"), "component")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -313,7 +359,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     alone = F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.struct("doc", "row_key"))
-    kept = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct("doc", "row_key")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.row_key").alias("__key"))
+    kept = found.groupBy("component", alone.alias("alone")).agg(F.min(F.struct("doc", "row_key")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.row_key").alias("__key"))
     own = docs.withColumn("__own", row_key(F.col(text_col)))
     joined = own.join(kept, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__key")), "left_semi")
     return joined.dropDuplicates([id_col, "__own"]).select(*docs.columns)
