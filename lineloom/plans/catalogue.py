@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import graph, logs, records, rules, search, similarity, spans, table, text, timeline, transform
+from ..operators import documents, graph, logs, records, rules, search, similarity, spans, table, text, timeline, transform
 from ..sources import lines as sources
+from . import colon
 from .compiler import query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,6 +507,49 @@ def _(spark, d):
     return read(spark, d, "documents").groupBy("lang", scalar.script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
 
+# the short syntax, and functions of whole documents -----------------------------------------------------------
+
+
+@add("colon_search_count", f"WITH {LINES} SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE regexp_matches(c, 'on[a-z]e')")
+def _(spark, d):
+    return only_content(colon.run(document_lines(spark, d), colon.parse("grep:on[a-z]e | count")))
+
+
+@add("colon_transform", f"WITH {LINES} SELECT doc_id, n AS line, replace(c, 'the', 'THE') AS content FROM l WHERE regexp_matches(c, '[0-9]{{4}}')")
+def _(spark, d):
+    return placed(colon.run(document_lines(spark, d), colon.parse("filter:[0-9]{4} | sed:the->THE")))
+
+
+@add("colon_sort_head", f"WITH {LINES} SELECT c AS content FROM l ORDER BY c DESC, doc_id, n LIMIT 15")
+def _(spark, d):
+    return only_content(colon.run(document_lines(spark, d), colon.parse("sort:-r | head:15")))
+
+
+@add("colon_unique_fields", f"WITH {LINES} SELECT CAST(count(DISTINCT string_split_regex(c, '\\s+')[1]) AS VARCHAR) AS content FROM l")
+def _(spark, d):
+    return only_content(colon.run(document_lines(spark, d), colon.parse("awk:1 | uniq:1 | count")))
+
+
+@add("summary_lead")
+def _(spark, d):
+    return documents.summary(read(spark, d, "documents"), "doc_id", "text", 2, "lead")
+
+
+@add("summary_tf_idf")
+def _(spark, d):
+    return documents.summary(read(spark, d, "documents"), "doc_id", "text", 2)
+
+
+@add("sentence_graph")
+def _(spark, d):
+    return documents.sentence_graph(read(spark, d, "benchmark"), "item_id", "text")
+
+
+@add("formats", "SELECT 'text' AS format, count(*) AS n FROM region WHERE r_name IS NOT NULL")
+def _(spark, d):
+    return read(spark, d, "region").groupBy(documents.format_of(F.col("r_name")).alias("format")).agg(F.count("*").alias("n"))
+
+
 # samples ------------------------------------------------------------------------------------------------------
 
 
