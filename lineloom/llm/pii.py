@@ -232,7 +232,7 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
 
 def pseudonymize(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with surrogates in place of personal data; count_col: also returns the number of mentions of each type, as a map."""
-    cut = barrier(docs.filter(F.col(text_col).rlike("[0-9@]|" + PATTERNS["name"])), "__pieces", pieces(F.col(text_col)))
+    cut = barrier(docs.filter(F.col(text_col).rlike("[0-9@]|[a-f]{32}|AKIA|" + PATTERNS["name"])), "__pieces", pieces(F.col(text_col)))
     mentions = F.transform(F.filter("__pieces", lambda _, i: i % 2 == 1), lambda m: let(type_of(m), lambda k: F.struct(m.alias("m"), k.alias("k"), parts(m, k).alias("parts"))))
     told = barrier(cut.filter(F.size("__pieces") > 1).select(F.col(id_col).alias("__doc"), row_key(F.col(text_col)).alias("__key"), "__pieces"), "__mentions", mentions)
     flat = told.select("__doc", "__key", F.explode(F.array_distinct(F.flatten(F.transform("__mentions", lambda x: x["parts"])))).alias("p")).select("__doc", "__key", "p.kind", "p.canon")
