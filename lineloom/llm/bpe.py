@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Code points that are handled in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pieces whose ids are kept by a worker.
 CACHED = 400_000
 ROW = 256
@@ -248,6 +248,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                     ids, first, offsets = c.encode(texts)
                 made = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in ((ids, offsets) if offsets_col else (ids,))]
                 yield pa.RecordBatch.from_arrays([rows[f.name] for f in kept] + made, names=[f.name for f in [*kept, *new]])
+        c.forget()  # workers go on to other stages, whose memory this is then
 
     return docs.select(*docs.columns).mapInArrow(run, T.StructType([*kept, *new]))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed in one go; what is held at once is a small multiple of it, for texts of any length.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)

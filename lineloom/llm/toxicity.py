@@ -139,7 +139,7 @@ class Scorer:
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool, bool]], int]:
         """(begin, end, kind, quoted, addressed) of every hit, and the number of words."""
         known, match = self.known, self.automaton.match
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         lowered = text.lower()
         found, n = [], 0
@@ -190,7 +190,7 @@ def _terms(texts: DataFrame) -> DataFrame:
                 for term, stem in seen:
                     key = (term, stem, toxic.as_py())
                     counts[key] = counts.get(key, 0) + 1
-                if len(counts) > 500_000:
+                if len(counts) > 100_000:
                     yield out()
         if counts:
             yield out()
