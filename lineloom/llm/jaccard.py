@@ -319,15 +319,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         held.append(materialize(set_rows(chosen.dropDuplicates(["cid"]) if repeated else chosen, width), "jaccard-sets"))
         return reduce(DataFrame.unionByName, held)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = materialize(possible(pairs, classes, num, den), "jaccard-near")
+    def linked(near: DataFrame) -> DataFrame:
         return materialize(verified(near, sets_of(near), num, den), "jaccard-links")
 
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    pairs = materialize(members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct(), "jaccard-pairs")
-    links = linked(pairs)
+    pairs = members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct()
+    # of all that may link with a class, the smallest is verified first; what that leaves apart comes in the rounds
+    best = possible(pairs, classes, num, den).groupBy("b").agg(F.min(F.struct("a", "total")).alias("p"))
+    near = materialize(best.select("p.a", "b", "p.total"), "jaccard-near")
+    links = linked(near)
     roots = components(links)
-    left, tried = members, pairs
+    left, tried = members, near.select("a", "b")
     for r in range(1, MAX_ROUNDS + 1):
         # groups that still hold several components
         placed = left.select("key", "cid", "up").join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "up", F.coalesce("root", "cid").alias("root"))
@@ -339,7 +341,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         found = sifted(left, classes, num, den, forest=None if last else r).join(tried, ["a", "b"], "left_anti")
         pairs = materialize(found, "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        more = linked(pairs)
+        more = linked(materialize(possible(pairs, classes, num, den), "jaccard-near"))
         links = links.unionByName(more)
         if not more.isEmpty():
             roots = components(links)
