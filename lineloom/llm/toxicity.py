@@ -9,8 +9,8 @@ Every hit has a window of words around it. Quotation marks that enclose it or ve
 to quotation, forms of address near it to abuse; the window's score scales what the hit adds.
 
 The lexicon and the weights are learned from labelled rows: terms by how much more often they occur in toxic
-than in other documents, and in how many different contexts (copies of one document are one context), over all labelled rows; weights by logistic regression over at most FIT_ROWS of them,
-those of smallest id hash.
+than in other documents, and in how many different contexts, over all labelled texts (rows of one text and label count
+once); weights by logistic regression over at most FIT_ROWS rows, those of smallest id hash.
 
 Defined results: null and empty texts have no words and get the score of a text without hits; texts of any length are
 read to their end; rows that are equal or repeat an id each get a score; labels that are null, contradictory
@@ -198,6 +198,15 @@ def _terms(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "term string, stem boolean, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
 
 
+def _distinct(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row of each text and label, and how many of them are toxic and not. texts: text, toxic, and hash and row, which tell texts and rows apart."""
+    firsts = materialize(texts.groupBy("hash", "toxic").agg(F.min("row").alias("row")), "toxicity-distinct")
+    sums = {r["toxic"]: r["count"] for r in firsts.groupBy("toxic").count().collect()}
+    rows = firsts.select("row")
+    kept = texts.join(F.broadcast(rows) if sum(sums.values()) <= BROADCAST_ROWS else rows, "row", "left_semi")
+    return kept.select("text", "toxic"), sums.get(1, 0), sums.get(0, 0)
+
+
 def _contexts(texts: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
     """In how many different pairs of neighbouring words each of a bounded number of terms occurs."""
     words, stems = {t for t, stem in terms if not stem}, {t for t, stem in terms if stem}
@@ -257,20 +266,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    texts = materialize(docs.join(marks, docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).alias("text"), "toxic"), "toxicity-labelled")
-    sums = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n1, n0 = sums.get(1, 0), sums.get(0, 0)
+    texts = materialize(docs.join(marks, docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).alias("text"), "toxic", F.md5(F.col(text_col).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row")), "toxicity-labelled")
+    different, n1, n0 = _distinct(texts)
     if not n1 or not n0:
         return Model()
     gain = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
     # a marking term is toxic nearly wherever it occurs, beyond what chance gives among so many terms
-    counted = _terms(texts.select("text", "toxic")).filter((F.col("n1") >= max(3, min(min_rows, n1 // 50))) & (F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14))
+    counted = _terms(different).filter((F.col("n1") >= max(3, min(min_rows, n1 // 50))) & (F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14))
     best = counted.orderBy((gain * F.col("n1")).desc(), "stem", "term").limit(20 * MAX_TERMS).collect()
-    contexts = _contexts(texts.filter("toxic = 1").select("text"), [(r["term"], r["stem"]) for r in best])
+    contexts = _contexts(different.filter("toxic = 1").select("text"), [(r["term"], r["stem"]) for r in best])
     words, stems = _lexicon([r for r in best if contexts.get((r["term"], r["stem"]), 0) >= max(3, 0.3 * r["n1"])], n1, n0)
     model = Model(sorted({*words[:MAX_TERMS], *TERMS}), sorted(stems[:MAX_TERMS]))
     # a share of the rows by their hash, so that no task gathers texts; only features are cut to fit_rows exactly
-    share = min(1.0, 1.1 * fit_rows / (n1 + n0))
+    share = min(1.0, 1.1 * fit_rows / texts.count())
     rows = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     known = featurize(rows, model, text_col="text").select("features", "toxic", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).select("features", "toxic").toPandas()
     if known["toxic"].nunique() == 2:

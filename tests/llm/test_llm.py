@@ -289,6 +289,22 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.limit(0)).weights == toxicity.DEFAULT_WEIGHTS
 
 
+@pytest.mark.parametrize("toxic", [1, 0])
+def test_copies_hide_no_terms(spark, monkeypatch, toxic):
+    """A third of the labelled rows are copies of one text with every term."""
+    monkeypatch.setattr(toxicity, "TERMS", [])
+    words = [a + b + c for a in "bdg" for b in "aeo" for c in "lmn"]
+    terms = ["zzgrumf", "qqblorx"]
+    rows = [(i, " ".join(random.choices(words, k=40)), 0) for i in range(120)]
+    rows += [(200 + i, " ".join([*random.choices(words, k=20), terms[i % 2], *random.choices(words, k=20)]), 1) for i in range(60)]
+    copied = " ".join([*random.choices(words, k=20), *terms, *random.choices(words, k=20)])
+    rows += [(500 + i, copied, toxic) for i in range(100)]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, [r[:2] for r in rows]), labels)
+    automaton = toxicity.Automaton(model.words, model.stems)
+    assert [automaton.match(t) for t in terms] == [1, 1] and not any(automaton.match(w) == 1 for w in words)
+
+
 def test_co_training(spark):
     rows = []
     for i in range(300):
