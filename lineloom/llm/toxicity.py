@@ -34,7 +34,8 @@ from .common import materialize
 #: Word length from which misspellings count.
 FUZZY = 5
 FIT_ROWS = 20_000
-MAX_TERMS = 400
+#: So many candidate terms or fewer are sent to the tasks that count contexts, to leave out other words early; with more of them all words' contexts are counted and joined.
+HELD_TERMS = 50_000
 #: Labels of so many rows or fewer are sent to every executor (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Prefixes of words that may become stems.
@@ -207,44 +208,57 @@ def _distinct(texts: DataFrame) -> tuple[DataFrame, int, int]:
     return kept.select("text", "toxic"), sums.get(1, 0), sums.get(0, 0)
 
 
-def _contexts(texts: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[str, bool], int]:
-    """In how many different pairs of neighbouring words each of a bounded number of terms occurs."""
-    words, stems = {t for t, stem in terms if not stem}, {t for t, stem in terms if stem}
+def _contexts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """terms (term, stem, ...) with contexts: in how many different pairs of neighbouring words each occurs. Hashes stand for pairs."""
+    held = terms.select("term", "stem").limit(HELD_TERMS + 1).collect()
+    few = len(held) <= HELD_TERMS
+    words, stems = ({r["term"] for r in held if r["stem"] == stem} if few else None for stem in (False, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[str, bool, str]] = set()
+
+            def out() -> pa.RecordBatch:
+                rows = list(found)
+                found.clear()
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], names=["term", "stem", "context"])
+
             for text in batch["text"]:
                 w = ["", *WORD.findall((text.as_py() or "").lower()), ""]
                 for i in range(1, len(w) - 1):
-                    if w[i] in words:
-                        found.add((w[i], False, f"{w[i - 1]} {w[i + 1]}"))
-                    found |= {(t, True, f"{w[i - 1]} {w[i + 1]}") for k in range(STEM[0], STEM[1] + 1) if (t := w[i][:k]) in stems and len(w[i]) >= k}
-            rows = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], names=["term", "stem", "context"])
+                    context = f"{w[i - 1]} {w[i + 1]}"
+                    if words is None or w[i] in words:
+                        found.add((w[i], False, context))
+                    found.update((t, True, context) for k in range(STEM[0], min(STEM[1], len(w[i])) + 1) if (t := w[i][:k]) and (stems is None or t in stems))
+                if len(found) > 100_000:
+                    yield out()
+            yield out()
 
-    rows = texts.mapInArrow(run, "term string, stem boolean, context string").distinct().groupBy("term", "stem").count().collect()
-    return {(r["term"], r["stem"]): r["count"] for r in rows}
+    pairs = texts.mapInArrow(run, "term string, stem boolean, context string").select("term", "stem", F.xxhash64("context").alias("context")).distinct()
+    return terms.join(pairs.groupBy("term", "stem").agg(F.count("*").alias("contexts")), ["term", "stem"])
 
 
 def _lexicon(terms: list, n1: int, n0: int) -> tuple[list[str], list[str]]:
-    """Terms that mark toxic rows, best first; of stems that lie in one another the one that says most."""
+    """Terms that mark toxic rows; of stems that lie in one another the one that says most."""
     def weight(r) -> float:
         return r["n1"] * np.log(((r["n1"] + 0.5) / (n1 + 1)) / ((r["n0"] + 0.5) / (n0 + 1)))
 
+    begins = lambda term: {term[:k] for k in range(1, len(term) + 1)}
     words: list[str] = []
-    stems: list[str] = []
+    stems: dict[str, None] = {}
+    word_begins: set[str] = set()
+    stem_begins: set[str] = set()
     for r in sorted(terms, key=lambda r: (-round(weight(r), 6), r["stem"], -len(r["term"]), r["term"])):
         term = r["term"]
-        if any(term.startswith(s) or (r["stem"] and s.startswith(term)) for s in stems):
+        if not begins(term).isdisjoint(stems) or (r["stem"] and (term in stem_begins or term in word_begins)):
             continue
         if r["stem"]:
-            if any(w.startswith(term) for w in words):
-                continue
-            stems.append(term)
+            stems[term] = None
+            stem_begins |= begins(term)
         else:
             words.append(term)
-    return words, stems
+            word_begins |= begins(term)
+    return words, list(stems)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -262,7 +276,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, min_rows: int = 8) -> Model:
-    """A model from all labelled rows. What reaches the driver is the best MAX_TERMS terms and at most fit_rows rows of features."""
+    """A model from all labelled rows. What reaches the driver is the terms that pass all tests, up to HELD_TERMS candidates and at most fit_rows rows of features."""
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
@@ -272,11 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Model()
     gain = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
     # a marking term is toxic nearly wherever it occurs, beyond what chance gives among so many terms
-    counted = _terms(different).filter((F.col("n1") >= max(3, min(min_rows, n1 // 50))) & (F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14))
-    best = counted.orderBy((gain * F.col("n1")).desc(), "stem", "term").limit(20 * MAX_TERMS).collect()
-    contexts = _contexts(different.filter("toxic = 1").select("text"), [(r["term"], r["stem"]) for r in best])
-    words, stems = _lexicon([r for r in best if contexts.get((r["term"], r["stem"]), 0) >= max(3, 0.3 * r["n1"])], n1, n0)
-    model = Model(sorted({*words[:MAX_TERMS], *TERMS}), sorted(stems[:MAX_TERMS]))
+    counted = materialize(_terms(different).filter((F.col("n1") >= max(3, min(min_rows, n1 // 50))) & (F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14)), "toxicity-terms")
+    marking = _contexts(different.filter("toxic = 1").select("text"), counted).filter(F.col("contexts") >= F.greatest(F.lit(3.0), 0.3 * F.col("n1")))
+    words, stems = _lexicon(marking.collect(), n1, n0)
+    model = Model(sorted({*words, *TERMS}), sorted(stems))
     # a share of the rows by their hash, so that no task gathers texts; only features are cut to fit_rows exactly
     share = min(1.0, 1.1 * fit_rows / texts.count())
     rows = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)

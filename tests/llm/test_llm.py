@@ -305,6 +305,29 @@ def test_copies_hide_no_terms(spark, monkeypatch, toxic):
     assert [automaton.match(t) for t in terms] == [1, 1] and not any(automaton.match(w) == 1 for w in words)
 
 
+def test_every_term_that_passes_is_kept(spark, monkeypatch):
+    """More terms than 400, whether or not candidates are few enough to be sent to the tasks."""
+    monkeypatch.setattr(toxicity, "TERMS", [])
+    words = [a + b + c for a in "bdg" for b in "aeo" for c in "lmn"]
+    draw = random.Random(7)
+    letters = "hijkpqrstuvwxyz"
+    begins = draw.sample([a + b + c for a in letters for b in letters for c in letters], 450)
+    terms = [b + "".join(draw.choices(letters, k=5)) for b in begins]
+    rows = [(i, " ".join(draw.choices(words, k=30)), 0) for i in range(500)]
+    for i in range(500):
+        mixed = [w for k in range(9) for w in (*draw.choices(words, k=2), terms[(9 * i + k) % 450])]
+        rows.append((1000 + i, " ".join(mixed), 1))
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    docs = docs_of(spark, [r[:2] for r in rows]).repartition(4)
+    models = []
+    for held in (50_000, 0):
+        monkeypatch.setattr(toxicity, "HELD_TERMS", held, raising=False)
+        models.append(toxicity.fit(docs, labels))
+    automaton = toxicity.Automaton(models[0].words, models[0].stems)
+    assert sum(automaton.match(t) == 1 for t in terms) == 450 and not any(automaton.match(w) == 1 for w in words)
+    assert (models[0].words, models[0].stems) == (models[1].words, models[1].stems)
+
+
 def test_co_training(spark):
     rows = []
     for i in range(300):
