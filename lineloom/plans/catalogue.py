@@ -480,6 +480,12 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", scalar.base64_encode(t).alias("b64"), scalar.hex_encode(t).alias("hexed"), scalar.url_encode(t).alias("url"))
 
 
+@add("codecs_whole", "SELECT doc_id, sha256(to_base64(encode(text))) AS b64_sha256, sha256(lower(hex(encode(text)))) AS hexed_sha256, sha256(url_encode(text)) AS url_sha256 FROM documents")
+def _(spark, d):
+    encoded = {"b64": scalar.base64_encode, "hexed": scalar.hex_encode, "url": scalar.url_encode}
+    return read(spark, d, "documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(f"{n}_sha256") for n, f in encoded.items()])
+
+
 @add("url_parts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
 def _(spark, d):
     u = F.col("url")

@@ -1,10 +1,14 @@
+import base64
+import hashlib
 import re
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
 from lineloom.functions import scalar, text_rules
 from lineloom.operators import graph, logs, records, rules, search, similarity, spans, table, timeline, transform
+from lineloom.plans import catalogue
 from lineloom.sources import lines as L
 from lineloom.streaming import stream
 
@@ -121,3 +125,11 @@ def test_entry_has_sql_for_known_queries():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(re.match(r"\w+$", n) for n in entry.queries())
+
+
+def test_codecs_see_whole_texts(spark, tmp_path):
+    texts = ["x" * 60 + "é漢😀 tail ~*+", "x" * 60 + "other", "", "a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["codecs_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert [tuple(r)[1:] for r in got] == [(sha(base64.b64encode(t.encode()).decode()), sha(t.encode().hex()), sha(urllib.parse.quote(t, safe="~"))) for t in texts]
