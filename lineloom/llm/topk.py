@@ -12,7 +12,8 @@ Queries come in blocks too, and each pair of a query block and a row block is a
 
 Defined results: vectors that are null, or hold null or components that aren't finite, take no part, neither as
 rows nor as queries; vectors of different length aren't compared; equal vectors tie and the smaller id wins; a row
-isn't a result of its own query, and rows that repeat an id are told apart only by it; null ids take no part; with
+isn't a result of its own query; rows and queries that repeat an id or are equal count as often as they occur, as in a
+join, and the results of a repeated query id are ranked together; null ids take no part; with
 fewer than k rows all are returned; other columns play no part.
 """
 
@@ -39,9 +40,10 @@ class Block:
     #: Parts of the lists that are read before bounds are compared; which comes first is learned from earlier queries.
     DEPTHS = (1 / 8, 1 / 4, 1 / 2, 3 / 4)
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, copies: np.ndarray | None = None) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
+        self.copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
         self.sorted = np.sort(self.rows, axis=0)
         self.ones = np.ones(rows.shape[1], rows.dtype)
         self.buffer = np.empty_like(self.rows)
@@ -89,12 +91,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id
     """query_id, rank, vec_id, score: the k rows of highest integer inner product for each query."""
     def whole(df: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
-        return df.filter(_usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dims"))
+        return df.filter(_usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dims")).groupBy("id", "v", "dims").agg(F.count("*").alias("copies"))
 
     one, two = whole(rows), whole(queries)
     blocks = max(1, -(-one.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-two.count() // QUERY_ROWS))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     left = one.withColumn("b", dealt(blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = two.withColumn("q", dealt(query_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -104,10 +106,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id
             return pa.table({x: pa.array([], pa.int64()) for x in names})
         x, q = _matrix(block["v"], block.num_rows), _matrix(asked["v"], asked.num_rows)
         kind = np.result_type(x, q) if x.dtype != q.dtype else x.dtype
-        held = Block(np.array(block["id"]), x.astype(kind))
+        held = Block(np.array(block["id"]), x.astype(kind), np.array(block["copies"]))
         ids, found, scores = [], [], []
-        for own, v in zip(np.array(asked["id"]), q.astype(kind), strict=True):
+        for own, v, times in zip(np.array(asked["id"]), q.astype(kind), np.array(asked["copies"]), strict=True):
             at, score = held.best(v, own, k)
+            copies = np.minimum(held.copies[at] * times, k)
+            at, score = np.repeat(at, copies)[:k], np.repeat(score, copies)[:k]
             ids.append(np.full(len(at), own))
             found.append(held.ids[at])
             scores.append(score.astype(np.int64))
@@ -116,7 +120,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id
     keys = ["dims", "b", "q"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """

@@ -241,6 +241,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_top_k_with_repeats(spark, monkeypatch):
+    """Repeated rows and queries, and an id that a third of the rows have, against a join."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 4)]) for i in range(120)]
+    rows[7] = (7, [2.0] * 4)
+    rows += [rows[7]] * 4 + [rows[50], (50, rows[3][1])] + [(9, rows[9][1])] * 30 + [(9, [float(x) for x in rng.normal(0, 0.3, 4)]) for _ in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
+    wanted = Counter()
+    for q in (0, 50, 100):
+        found = sorted((-int(v @ w), i) for j, v in whole if j == q for i, w in whole if i != q)[:5]
+        wanted.update((q, r, i, -s) for r, (s, i) in enumerate(found, 1))
+    for size in (16, 8192):
+        monkeypatch.setattr(topk, "BLOCK_ROWS", size)
+        assert Counter(map(tuple, topk.search(df, df.filter("vec_id % 50 = 0"), 5).collect())) == wanted
+
+
 def test_bounds_keep_the_best():
     rng = np.random.default_rng(3)
     x = np.floor(256 * rng.normal(0, 0.1, (3000, 16))).astype(np.float32)
