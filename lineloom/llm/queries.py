@@ -81,7 +81,7 @@ def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = rans.new_folder(spark)
-    rans.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder)
+    rans.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder, encode_special_tokens=False)
     return rans.checksums(spark, folder).withColumnRenamed("doc", "doc_id")
 
 

@@ -176,16 +176,32 @@ class LibraryCodec(Codec):
         model, letters = self.tokenizer.model, _byte_letters()
         self.merge = lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
         self.offsets = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
+    def encode_texts(self, texts: list[str], encode_special_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts and where each text's ids begin (and the end). Texts with a literal added token go through the library as a whole, unless such tokens are encoded like other text."""
+        whole = {} if encode_special_tokens else {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if len(texts) == 1 and len(texts[0]) > POINTS:
+            ids = whole[0] if whole else _encode_long(self, texts[0])[0]
+            return ids, np.array([0, len(ids)])
+        ids, first, _ = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
+        if whole:
+            parts = [whole[i] if i in whole else ids[first[i] : first[i + 1]] for i in range(len(texts))]
+            ids, first = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, first
+
 
 @cache
 def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
-def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Encodes docs by the tokenizer file at path, an end id behind each, and writes segments to the folder out."""
+def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, encode_special_tokens: bool = True) -> None:
+    """Encodes docs by the tokenizer file at path, an end id behind each, and writes segments to the folder out.
+
+    encode_special_tokens is the library's setting: whether a literal added token is text like any other (by the library's default it is its id).
+    """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
@@ -212,11 +228,7 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str
         for batch in batches:
             for i, j in _runs(np.array(pc.binary_length(batch["t"].fill_null("")))):
                 texts = batch["t"].slice(i, j - i).fill_null("").to_pylist()
-                if len(texts) == 1 and len(texts[0]) > POINTS:
-                    ids = _encode_long(c, texts[0])[0]
-                    first = np.array([0, len(ids)])
-                else:
-                    ids, first, _ = c.encode(texts)
+                ids, first = c.encode_texts(texts, encode_special_tokens)
                 lengths = np.diff(first)
                 held.append(np.insert(ids, first[1:], end_id))
                 names.append(batch["doc"].slice(i, j - i))

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe, chat, cotrain, decontaminate, jaccard, pii, rans, topk, toxicity, warc
+from lineloom.llm import bpe, chat, cotrain, decontaminate, jaccard, pii, queries, rans, topk, toxicity, warc
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(60)]
@@ -221,6 +221,20 @@ def test_rans_files(spark):
         start += len(ids)
 
 
+def test_rans_query_equals_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = [(1, "a <|endoftext|> b"), (2, "plain  text"), (3, "<|endoftext|>"), (4, "x<|endoftext|><|endoftext|>\n it's"), (5, ""), (6, None), (7, "<|endoftext"), (8, "long text " * 60_000 + "<|endoftext|>")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for (i, text), r in zip(rows, queries.op10_rans_token_files(spark, str(tmp_path)).orderBy("doc_id").collect(), strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 # search -------------------------------------------------------------------------------------------------------
 
 
