@@ -391,13 +391,13 @@ def _(spark, d):
 
 @add("pagerank")
 def _(spark, d):
-    edges = graph.cooccurrence(read(spark, d, "benchmark"), "text", 2)
+    edges = graph.cooccurrence(read(spark, d, "documents"), "text", 2)
     return graph.pagerank(graph.both_ways(edges), iterations=10)
 
 
 @add("degree_centrality")
 def _(spark, d):
-    return graph.degree_centrality(graph.cooccurrence(read(spark, d, "benchmark"), "text", 1))
+    return graph.degree_centrality(graph.cooccurrence(read(spark, d, "documents"), "text", 1))
 
 
 @add("closure", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
@@ -452,7 +452,7 @@ def _(spark, d):
 
 @add("fuzzy_search")
 def _(spark, d):
-    return similarity.fuzzy_search(read(spark, d, "nation"), "n_name", "germony")
+    return similarity.fuzzy_search(read(spark, d, "customer"), "c_name", "costumer#000000042")
 
 
 @add("levenshtein", "SELECT p_partkey, CASE WHEN levenshtein(p_name, p_type) <= 12 THEN levenshtein(p_name, p_type) END AS distance FROM part WHERE levenshtein(p_name, p_type) <= 12")

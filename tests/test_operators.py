@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import re
 import urllib.parse
@@ -133,3 +134,28 @@ def test_codecs_see_whole_texts(spark, tmp_path):
     got = catalogue.QUERIES["codecs_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert [tuple(r)[1:] for r in got] == [(sha(base64.b64encode(t.encode()).decode()), sha(t.encode().hex()), sha(urllib.parse.quote(t, safe="~"))) for t in texts]
+
+
+def test_graph_and_fuzzy_queries_read_whole_tables(spark, tmp_path):
+    texts = ["a b c a", "b d", "c e a b", "f"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = [f"Customer#{i:09d}" for i in range(60)]
+    spark.createDataFrame([(n,) for n in names], "c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+
+    def weights(window):
+        found = collections.Counter()
+        for w in map(str.split, texts):
+            found.update(tuple(sorted((w[i], y))) for i in range(len(w)) for y in w[i + 1 : i + 1 + window] if y != w[i])
+        return collections.Counter({k: n for (a, b), n in found.items() for k in ((a, b), (b, a))})
+
+    one, two = weights(1), weights(2)
+    nodes = {a for a, _ in one}
+    wanted = {n: sum(w for (a, _), w in one.items() if a == n) / (len(nodes) - 1) for n in nodes}
+    assert dict(values(catalogue.QUERIES["degree_centrality"](spark, str(tmp_path)))) == pytest.approx(wanted)
+    nodes = {a for a, _ in two}
+    out = {n: sum(w for (a, _), w in two.items() if a == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(10):
+        rank = {n: 0.15 / len(nodes) + 0.85 * sum(rank[a] * w / out[a] for (a, b), w in two.items() if b == n) for n in nodes}
+    assert dict(values(catalogue.QUERIES["pagerank"](spark, str(tmp_path)))) == pytest.approx(rank)
+    assert catalogue.QUERIES["fuzzy_search"](spark, str(tmp_path)).first()[0] == names[42]
