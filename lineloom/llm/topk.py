@@ -2,11 +2,12 @@
 
 Vectors become integers. Rows are dealt by hash into blocks of about BLOCK_ROWS; each block keeps one list for
 each dimension, sorted by component, which is read from one end or the other by the sign of the query's
-component. For a query all lists of a block are read to the same depth. What was read gives each row a lower
+component. The bounds are those of lists read to the same depth, but they are tested on a full scan: every component of
+every row is multiplied by the query's first, and a depth only says which products count as read. What counts as read gives each row a lower
 bound (unread components at the list's far end) and an upper bound (unread components at the reading position);
 rows whose upper bound lies below the k-th lower bound are out, and so is every row not read at all once the sum of the
-reading positions lies below it. The depth doubles until no outsider can qualify; the scores of the rows left are then
-resolved exactly. The k best of each block are merged by a grouped aggregation that keeps k.
+reading positions lies below it. The depth grows by DEPTHS until few rows are left or the last depth is reached; the scores of the rows left are
+then resolved exactly. The k best of each block are merged by a grouped aggregation that keeps k.
 
 Queries come in blocks too, and each pair of a query block and a row block is a group of bounded size.
 
