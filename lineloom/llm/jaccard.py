@@ -5,11 +5,14 @@ band whose pairs may differ in at most D shingles at the threshold, a set's shin
 D + 1 (and a few more) pieces, and the hashes of each piece are XORed into the bits of a sketch. The pieces in
 which two sketches differ are at most as many as the shingles in which the sets differ, so by the pigeonhole
 principle a pair that links agrees in a piece: an equi-join on (band, piece, bits) finds all links. Candidates
-are then sifted by the Hamming distance of a 512-bit parity sketch, which is also at most the symmetric
-difference, and verified with the sets themselves.
+are then sifted by the Hamming distance of a second parity sketch, which is also at most the symmetric difference.
+That sketch has two to four bits for each shingle, so that it tells pairs apart at any size (the longer one of two
+is folded to the length of the other). What is left is verified with the sets themselves, made again from the texts.
 
 No group is expanded into all its pairs: equal sets become one class first; in a group that shares a piece each
-class is first compared with one pivot. Where a group still holds several components, their classes' sketches are
+class is first compared with one pivot. A piece that many sets of a batch share is told of the first HOT of them
+only; the others are dealt by class and paired with one of those, so that no task gets all rows of a frequent
+piece. Where a group still holds several components, their classes' sketches are
 compared in place; in the first rounds only pairs that connect what the sketches allow to link are verified (at
 most one a class), in the last round all of them that still lie in different components, so that no link between
 different components is missed. Components grow by large-star and
@@ -29,16 +32,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, row_key
 from .shingles import mix, shingle_sets
 
-MAX_ROUNDS = 3
+MAX_ROUNDS = 2
 #: Rows of a group that are compared with each other in one go.
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 256
+#: Words of the least sketch.
 SKETCH_WORDS = 8
+#: Sets of a batch that tell a frequent piece to the task that gathers it.
+HOT = 16
+#: Keys that a worker gathers before it looks for frequent ones, and words of sketches that it compares in one go.
+KEYS, COMPARED = 500_000, 1 << 20
 
 
 class Bands:
@@ -96,13 +105,40 @@ def piece_keys(sets: list[np.ndarray], bands: Bands, up: bool) -> list[np.ndarra
     return np.split(keys[keep].view(np.int64), np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1]) if sets else []
 
 
-def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """512 bits for each set: each shingle flips one."""
-    size = 64 * SKETCH_WORDS
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """The words of the sketches of sets of n shingles: a power of two, of at least 2 * n bits."""
+    return np.maximum(SKETCH_WORDS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64).clip(0))
+
+
+def parity_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Bits in which each shingle flips one. A sketch's halves XORed are the sketch of half as many bits."""
+    n = np.array([len(s) for s in sets], np.int64)
+    words = sketch_words(n)
+    first = np.concatenate(([0], np.cumsum(words)))
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    odd = np.bincount(owner * size + (flat & np.uint64(size - 1)).astype(np.int64), minlength=len(sets) * size) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), size), axis=1).view(np.int64).reshape(len(sets), SKETCH_WORDS)
+    bit = flat & (np.repeat(words, n) * 64 - 1).astype(np.uint64)
+    odd = np.bincount(np.repeat(first[:-1] * 64, n) + bit.astype(np.int64), minlength=int(first[-1]) * 64) & 1
+    packed = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return [packed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def sketch_distances(flat: np.ndarray, first: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Hamming distances of the sketches at places a and b, which lie in flat from first on, each folded to the shorter one's length."""
+    least = np.minimum(words[a], words[b])
+    out = np.zeros(len(a), np.int64)
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        for i in range(0, len(at), max(1, COMPARED // w)):
+            some = at[i : i + max(1, COMPARED // w)]
+            folded = []
+            for rows in (a[some], b[some]):
+                x = flat[first[rows][:, None] + np.arange(w)]
+                for fold in range(1, int(words[rows].max(initial=w)) // w):
+                    more = np.flatnonzero(words[rows] > fold * w)
+                    x[more] ^= flat[first[rows[more]][:, None] + np.arange(w) + fold * w]
+                folded.append(x)
+            out[some] = np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -115,7 +151,8 @@ def _classes(sets: list[np.ndarray], salt: int) -> list[bytes]:
 
 
 def _class_ids(names: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(d[:8], "little", signed=True) for d in names], np.int64)
+    """Class ids of 63 bits, so that one more bit finds room beside them."""
+    return np.array([int.from_bytes(d[:8], "little", signed=True) >> 1 for d in names], np.int64)
 
 
 def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
@@ -125,7 +162,7 @@ def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
         for batch in batches:
             for at, sets in shingle_sets(batch["t"], width):
                 own, names = batch.slice(at, len(sets)), _classes(sets, salt)
-                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(_class_ids(names)), pa.array([d[8:] for d in names], pa.binary()), _lists(list(parity_sketches(sets)))]
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(_class_ids(names)), pa.array([d[8:] for d in names], pa.binary()), _lists(parity_sketches(sets))]
                 yield pa.RecordBatch.from_arrays([own["doc"], own["row_key"], *made], names=["doc", "row_key", "n", "cid", "digest", "sketch"])
 
     kind = docs.schema["doc"].dataType.simpleString()
@@ -133,11 +170,31 @@ def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
 
 
 def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """key, cid, up: the pieces of every class, in its own band and (up = 1) as seen from the next. A task tells the copies of a set once."""
+    """key, deal, code, leader: the pieces of every class; code is twice the class id, plus 1 for a piece as seen from the next band.
+
+    A task tells the copies of a set once. Of the sets of a batch that share a piece, HOT of either kind are dealt by the piece
+    alone (deal 0); the others have one of those as their leader and are dealt by their class as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         told: set[int] = set()
+        keys: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
+
+        def batch_of() -> pa.RecordBatch:
+            key, code = np.concatenate(keys), np.concatenate(codes)
+            keys.clear()
+            codes.clear()
+            order = np.lexsort((code & 1, key))
+            key, code = key[order], code[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            kind = np.concatenate(([True], new[1:] | (code[1:] & 1 != code[:-1] & 1)))
+            more = np.arange(len(key)) - np.flatnonzero(kind)[np.cumsum(kind) - 1] >= HOT
+            deal = np.where(more, code | 1, 0)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(deal), pa.array(code), pa.array(code[start], mask=~more)], names=["key", "deal", "code", "leader"])
+
         for batch in batches:
             for _, sets in shingle_sets(batch["t"], width):
                 new = []
@@ -147,42 +204,53 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
                         new.append((k, c))
                 sets, ids = [sets[k] for k, _ in new], np.array([c for _, c in new], np.int64)
                 for up in (0, 1):
-                    keys = piece_keys(sets, bands, bool(up))
-                    if sum(map(len, keys)):
-                        flat = np.concatenate(keys)
-                        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, [len(k) for k in keys])), pa.array(np.full(len(flat), up, np.int8))], names=["key", "cid", "up"])
+                    own = piece_keys(sets, bands, bool(up))
+                    keys += own
+                    codes.append(np.repeat(2 * ids + up, [len(k) for k in own]))
+                if sum(map(len, keys)) > KEYS:
+                    yield batch_of()
+        if sum(map(len, keys)):
+            yield batch_of()
 
-    return docs.mapInArrow(run, "key long, cid long, up byte")
+    return docs.mapInArrow(run, "key long, deal long, code long, leader long")
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """cid, hashes: the sets themselves."""
+def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, n_a, n_b of those pairs whose sizes and sketches allow a link."""
+    one, two = (classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    fits = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, sets in shingle_sets(batch["t"], width):
-                yield pa.RecordBatch.from_arrays([batch["cid"].slice(at, len(sets)), _lists([s.view(np.int64) for s in sets])], names=["cid", "hashes"])
-
-    return docs.mapInArrow(run, "cid long, hashes array<long>")
-
+            if not batch.num_rows:
+                continue
+            flat = np.concatenate([np.array(batch[c].flatten()) for c in ("s_a", "s_b")])
+            words = np.concatenate([np.array(pc.list_value_length(batch[c]), np.int64) for c in ("s_a", "s_b")])
+            first = np.cumsum(words) - words
+            at = np.arange(batch.num_rows)
+            apart = sketch_distances(flat, first, words, at, at + batch.num_rows)
+            total = np.array(batch["n_a"]) + np.array(batch["n_b"])
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(apart * (den + num) <= total * (den - num)))
 
-def _hamming(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)])
+    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, total of those pairs whose sizes and sketches allow a link."""
-    one, two = (classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    total = F.col("n_a") + F.col("n_b")
-    near = pairs.join(one, "a").join(two, "b").filter((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (_hamming("s_a", "s_b") * (den + num) <= total * (den - num)))
-    return near.select("a", "b", total.alias("total"))
+def verified(near: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """a, b of those pairs whose sets link; texts: cid, t. Skewed pivots are split by the join."""
+    left, right = (texts.select(F.col("cid").alias(x), F.col("t").alias(f"t_{x}")) for x in "ab")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                one, two = ([s for _, sets in shingle_sets(part[c], width) for s in sets] for c in ("t_a", "t_b"))
+                for x, y in zip(one, two, strict=True):
+                    both = len(x) + len(y) - len(np.union1d(x, y))
+                    ok.append(both * den >= (len(x) + len(y) - both) * num)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of those pairs whose sets link. A pair's cost doesn't depend on how many share its pivot, and skewed keys are split."""
-    left, right = (sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"h_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("h_a", "h_b"))
-    return near.join(left, "a").join(right, "b").filter(both * den >= (F.col("total") - both) * num).select("a", "b")
+    return near.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
 def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: int | None) -> DataFrame:
@@ -203,7 +271,7 @@ def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: i
         n_a, n_b = g["n"][a], g["n"][b]
         fits = (g["root"][a] != g["root"][b]) & (g["up"][a] + g["up"][b] < 2) & (n_a * den >= n_b * num) & (n_b * den >= n_a * num) & ((g["own"][a] != g["own"][b]) | (g["i"][a] == g["j"][a]))
         at = np.flatnonzero(fits)
-        apart = np.bitwise_count(g["sketch"][a[at]] ^ g["sketch"][b[at]]).sum(axis=1, dtype=np.int64)
+        apart = sketch_distances(g["sketch"], g["first"], g["words"], a[at], b[at])
         fits[at] = apart * (den + num) <= (n_a[at] + n_b[at]) * (den - num)
         return fits
 
@@ -255,16 +323,18 @@ def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: i
             if not batch.num_rows:
                 continue
             g = {c: np.array(batch[c]) for c in ("key", "i", "j", "cid", "up", "root", "own", "n")}
-            g["sketch"] = np.array(batch["sketch"].flatten()).reshape(-1, SKETCH_WORDS).view(np.uint64)
+            g["words"] = np.array(pc.list_value_length(batch["sketch"]), np.int64)
+            g["sketch"] = np.array(batch["sketch"].flatten())
             if held is not None:
                 g = {c: np.concatenate((held[c], g[c])) for c in g}
+            g["first"] = np.cumsum(g["words"]) - g["words"]
             # the last group may go on in the next batch
             same = np.flatnonzero((g["key"] == g["key"][-1]) & (g["i"] == g["i"][-1]) & (g["j"] == g["j"][-1]))[0]
-            held = {c: x[same:] for c, x in g.items()}
+            held = {c: x[int(g["first"][same]) :] if c == "sketch" else x[same:] for c, x in g.items() if c != "first"}
             if same:
-                yield pairs_of({c: x[:same] for c, x in g.items()})
+                yield pairs_of({c: x if c == "sketch" else x[:same] for c, x in g.items()})
         if held is not None:
-            yield pairs_of(held)
+            yield pairs_of(held | {"first": np.cumsum(held["words"]) - held["words"]})
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -304,29 +374,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     repeated = not rows.groupBy("doc", "row_key").count().filter("count > 1").isEmpty()
 
     # groups of classes that agree in a piece and hold a class of the piece's own band
-    by_key = Window.partitionBy("key")
-    keyed = key_rows(texts, width, num, den, salt).select("*", F.min(F.struct("up", "cid")).over(by_key).alias("pivot"), F.min("cid").over(by_key).alias("lo"), F.max("cid").over(by_key).alias("hi"))
-    members = materialize(keyed.filter("lo <> hi and pivot.up = 0").select("key", "cid", "up", F.col("pivot.cid").alias("pivot")), "jaccard-groups")
+    by_key = Window.partitionBy("key", "deal")
+    cid, up = F.shiftright("code", 1), F.col("code").bitwiseAND(1)
+    keyed = key_rows(texts, width, num, den, salt).select("key", cid.alias("cid"), up.cast("byte").alias("up"), F.shiftright("leader", 1).alias("leader"), F.min(F.struct(up.alias("up"), cid.alias("cid"))).over(by_key).alias("pivot"), F.min("code").over(by_key).alias("lo"), F.max("code").over(by_key).alias("hi"))
+    grouped = (F.shiftright("lo", 1) != F.shiftright("hi", 1)) & (F.col("pivot.up") == 0)
+    members = materialize(keyed.filter(grouped | F.col("leader").isNotNull()).select("key", "cid", "up", F.coalesce("leader", "pivot.cid").alias("pivot")), "jaccard-groups")
 
-    held: list[DataFrame] = []  # the sets that were needed so far
+    held: list[DataFrame] = []  # the texts of the classes that were needed so far
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def texts_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         for h in held:
             needed = needed.join(h.select("cid"), "cid", "left_anti")
         needed = materialize(needed.join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc").alias("d"), F.col("rep.row_key").alias("k")), "jaccard-needed")
         chosen = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("cid", "t")
-        held.append(materialize(set_rows(chosen.dropDuplicates(["cid"]) if repeated else chosen, width), "jaccard-sets"))
+        held.append(materialize(chosen.dropDuplicates(["cid"]) if repeated else chosen, "jaccard-texts"))
         return reduce(DataFrame.unionByName, held)
 
     def linked(near: DataFrame) -> DataFrame:
-        return materialize(verified(near, sets_of(near), num, den), "jaccard-links")
+        return materialize(verified(near, texts_of(near), width, num, den), "jaccard-links")
 
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     pairs = members.filter("cid <> pivot").select(*ordered("cid", "pivot")).distinct()
     # of all that may link with a class, the smallest is verified first; what that leaves apart comes in the rounds
-    best = possible(pairs, classes, num, den).groupBy("b").agg(F.min(F.struct("a", "total")).alias("p"))
-    near = materialize(best.select("p.a", "b", "p.total"), "jaccard-near")
+    best = possible(pairs, classes, num, den).groupBy("b").agg(F.min("a").alias("a"))
+    near = materialize(best.select("a", "b"), "jaccard-near")
     links = linked(near)
     roots = components(links)
     left, tried = members, near.select("a", "b")

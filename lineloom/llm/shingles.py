@@ -1,11 +1,13 @@
 """Sets of word shingles as 64-bit hashes, computed for whole Arrow batches of texts at once.
 
-Words are runs of bytes other than ASCII white space, with A-Z lower-cased. The hash of a word is a polynomial
-over its bytes, taken as a difference of running sums, so that no word is ever cut out as a string.
+Words are runs of bytes other than ASCII white space, with A-Z lower-cased. The hash of a word is a chain of mixed
+eight-byte lanes, taken from the text in place, so that no word is ever cut out as a string; words of up to eight
+bytes and equal length never share a hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +15,15 @@ import pyarrow as pa
 
 #: Bytes that are hashed in one go; what is held at once is a small multiple of it, for texts of any length.
 CHUNK = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Keeps the first 0 to 8 bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_BYTE[65:91] = _BYTE[97:123]
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.full(n + CHUNK, p, np.uint64), dtype=np.uint64) for p in (_P, _INVERSE)]
-    return _powers
-
-
 def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the words in data, and where each begins; begins: where texts begin, as words don't run on."""
     n = len(data)
@@ -53,10 +49,21 @@ def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(inner & ~before)
     after = np.concatenate((inner[1:], [False])) & ~cut[1:]
     ends = np.flatnonzero(inner & ~after) + 1
-    power, inverse = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    lower = np.zeros(n + 8, np.uint8)
+    lower[:n] = _LOWER[data]
+    lanes = np.ndarray((n,), "<u8", buffer=lower, strides=(1,))  # eight bytes from every place on
+    left = ends - starts
+    hashes = mix(left.astype(np.uint64) * _P)
+    long = np.flatnonzero(left > LONG_WORD)
+    some, at = slice(None), starts
+    while len(at):
+        hashes[some] = mix(hashes[some] * _P + (lanes[at] & _KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left <= LONG_WORD))
+        some = more if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(lower[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return hashes, starts
 
 
 def _long_text(data: np.ndarray) -> np.ndarray:
