@@ -254,7 +254,7 @@ def verified(near: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
 
 def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: int | None) -> DataFrame:
-    """a, b: pairs in a group (members: key, cid, up, root, size) from different components that sizes and sketches allow to link.
+    """key, a, b: pairs in a group (members: key, cid, up, root, size) from different components that sizes and sketches allow to link.
 
     forest: of each group only so many pairs as connect what they can connect, in an order that differs by this number.
     Large groups are dealt into chunks, and each pair of chunks is compared by itself, so that no task gets a large group.
@@ -314,8 +314,7 @@ def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: i
             a.append(x)
             b.append(y)
         one, other = g["cid"][np.concatenate(a)], g["cid"][np.concatenate(b)]
-        pairs = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g["key"][np.concatenate(a)], np.minimum(one, other), np.maximum(one, other))], names=["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -336,7 +335,7 @@ def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: i
         if held is not None:
             yield pairs_of(held | {"first": np.cumsum(held["words"]) - held["words"]})
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "key long, a long, b long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -374,11 +373,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     repeated = not rows.groupBy("doc", "row_key").count().filter("count > 1").isEmpty()
 
     # groups of classes that agree in a piece and hold a class of the piece's own band
-    by_key = Window.partitionBy("key", "deal")
+    in_order = Window.partitionBy("key", "deal").orderBy("code")
+    by_key = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cid, up = F.shiftright("code", 1), F.col("code").bitwiseAND(1)
-    keyed = key_rows(texts, width, num, den, salt).select("key", cid.alias("cid"), up.cast("byte").alias("up"), F.shiftright("leader", 1).alias("leader"), F.min(F.struct(up.alias("up"), cid.alias("cid"))).over(by_key).alias("pivot"), F.min("code").over(by_key).alias("lo"), F.max("code").over(by_key).alias("hi"))
+    keyed = key_rows(texts, width, num, den, salt).select("key", cid.alias("cid"), up.cast("byte").alias("up"), F.shiftright("leader", 1).alias("leader"), F.min(F.struct(up.alias("up"), cid.alias("cid"))).over(by_key).alias("pivot"), F.min("code").over(by_key).alias("lo"), F.max("code").over(by_key).alias("hi"), F.lag("code").over(in_order).eqNullSafe(F.col("code")).alias("again"))
     grouped = (F.shiftright("lo", 1) != F.shiftright("hi", 1)) & (F.col("pivot.up") == 0)
-    members = materialize(keyed.filter(grouped | F.col("leader").isNotNull()).select("key", "cid", "up", F.coalesce("leader", "pivot.cid").alias("pivot")), "jaccard-groups")
+    members = materialize(keyed.filter(~F.col("again") & (grouped | F.col("leader").isNotNull())).select("key", "cid", "up", F.coalesce("leader", "pivot.cid").alias("pivot")), "jaccard-groups")
 
     held: list[DataFrame] = []  # the texts of the classes that were needed so far
 
@@ -410,13 +410,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         if left.isEmpty():
             break
         last = r == MAX_ROUNDS
-        found = sifted(left, classes, num, den, forest=None if last else r).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(found, "jaccard-pairs")
+        found = materialize(sifted(left, classes, num, den, forest=None if last else r), "jaccard-found")
+        pairs = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         tried = tried.unionByName(pairs)
         more = linked(materialize(possible(pairs, classes, num, den), "jaccard-near"))
         links = links.unionByName(more)
         if not more.isEmpty():
             roots = components(links)
+        # all that may link in a group is connected, if all its pairs in a forest do
+        open_keys = found.join(more, ["a", "b"], "left_anti").select("key").distinct()
+        left = left.select("key", "cid", "up").join(open_keys, "key", "left_semi")
 
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least_doc", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))
