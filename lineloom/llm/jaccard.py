@@ -80,7 +80,7 @@ class Bands:
 
 def piece_keys(sets: list[np.ndarray], bands: Bands, up: bool) -> list[np.ndarray]:
     """For each set the keys of its pieces, in its own band or (up) as seen from the next band."""
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(s) for s in sets], np.int64)
     bands.grow(int(n.max(initial=0)))
     band = np.searchsorted(bands.low, n, "right") - 1 + up
     count, spare = bands.pieces(np.maximum(band, 0), n)
@@ -173,7 +173,7 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
     """key, deal, code, leader: the pieces of every class; code is twice the class id, plus 1 for a piece as seen from the next band.
 
     A task tells the copies of a set once. Of the sets of a batch that share a piece, HOT of either kind are dealt by the piece
-    alone (deal 0); the others have one of those as their leader and are dealt by their class as well.
+    alone (deal is null); the others have one of those as their leader and are dealt by their class as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +187,15 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
             keys.clear()
             codes.clear()
             order = np.lexsort((code & 1, key))
-            key, code = key[order], code[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
+            sorted_key, sorted_code = key[order], code[order]
+            new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
             start = np.flatnonzero(new)[np.cumsum(new) - 1]
-            kind = np.concatenate(([True], new[1:] | (code[1:] & 1 != code[:-1] & 1)))
-            more = np.arange(len(key)) - np.flatnonzero(kind)[np.cumsum(kind) - 1] >= HOT
-            deal = np.where(more, code | 1, 0)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(deal), pa.array(code), pa.array(code[start], mask=~more)], names=["key", "deal", "code", "leader"])
+            kind = np.concatenate(([True], new[1:] | (sorted_code[1:] & 1 != sorted_code[:-1] & 1)))
+            rank = np.arange(len(key)) - np.flatnonzero(kind)[np.cumsum(kind) - 1]
+            more, leader = np.empty(len(key), bool), np.empty(len(key), np.int64)
+            more[order], leader[order] = rank >= HOT, sorted_code[start]
+            # in the order of the sets, whose codes then compress well
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code, mask=~more), pa.array(code), pa.array(leader, mask=~more)], names=["key", "deal", "code", "leader"])
 
         for batch in batches:
             for _, sets in shingle_sets(batch["t"], width):
