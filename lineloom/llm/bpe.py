@@ -33,7 +33,12 @@ from pyspark.sql import types as T
 CHUNK = 1 << 19
 #: Pieces whose ids are kept by a worker.
 CACHED = 400_000
+#: Places of the table of short pieces, as a power of two.
+SLOTS = 21
 ROW = 256
+#: Keeps the first 0 to 8 bytes of a lane.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: The contractions of the pattern (behind the apostrophe), and its white space beyond what str.isspace says.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
@@ -132,6 +137,15 @@ def piece_starts(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(opens.T.ravel()[:n])
 
 
+def lanes_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece data[cuts[i] : cuts[i + 1]] its first eight bytes, the next eight, and its size."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))  # eight bytes from every place on
+    begin, size = cuts[:-1], np.diff(cuts)
+    return lanes[begin] & KEEP[np.minimum(size, 8)], lanes[np.minimum(begin + 8, len(data))] & KEEP[np.clip(size - 8, 0, 8)], size
+
+
 def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated items of a list of runs that lies in flat, and where each item begins."""
     lengths = offsets[index + 1] - offsets[index]
@@ -158,6 +172,8 @@ class Codec:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = array("i"), array("q", [0])
+        self.slots = np.full(1 << SLOTS, -1, np.int32)
+        self.low, self.high, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
     def learn(self, pieces: list[bytes]) -> None:
         for piece in pieces:
@@ -165,6 +181,26 @@ class Codec:
             self.ends.append(len(self.ids))
             self.known[piece] = len(self.ends) - 2
 
+    def numbers(self, data: bytes, cuts: np.ndarray) -> np.ndarray:
+        """The number of each piece among the known ones.
+
+        Pieces of up to 16 bytes are compared, all at once and byte for byte, with the piece that holds their slot of a table; only the others are cut out and looked up by themselves.
+        """
+        low, high, size = lanes_of(np.frombuffer(data, np.uint8), cuts)
+        slot = (((low * ODD ^ high) + size.astype(np.uint64)) * ODD >> np.uint64(64 - SLOTS)).astype(np.int64)
+        index = self.slots[slot].astype(np.int64)
+        missed = np.flatnonzero((index < 0) | (self.low[index] != low) | (self.high[index] != high) | (self.size[index] != size))
+        pieces = [data[a:b] for a, b in zip(cuts[missed].tolist(), cuts[missed + 1].tolist(), strict=True)]
+        known = self.known
+        self.learn(list({p for p in pieces if p not in known}))
+        index[missed] = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        while len(self.size) < len(known):
+            self.low, self.high, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.low, self.high, self.size))
+        free = missed[(size[missed] <= 16) & (self.slots[slot[missed]] < 0)]
+        self.slots[slot[free]] = index[free]
+        self.low[index[free]], self.high[index[free]], self.size[index[free]] = low[free], high[free], size[free]
+        return index
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, where each text's ids begin (and the end), and the byte in its text at which each id begins."""
         sizes = np.array([len(t) for t in texts])
@@ -176,12 +212,9 @@ class Codec:
         data = joined.encode()
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))) if len(data) > len(points) else np.arange(len(points) + 1)
         starts = piece_starts(symbols(points, np.unique(bounds[:-1][sizes > 0])))
-        cuts = at[np.append(starts, len(points))].tolist()
         if len(self.known) > CACHED:
             self.forget()
-        pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.learn([p for p in set(pieces) if p not in self.known])
-        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        index = self.numbers(data, at[np.append(starts, len(points))])
         ends = np.frombuffer(self.ends, np.int64).copy()
         ids, piece_at = gather(np.frombuffer(self.ids, np.int32).copy(), ends, index)
         first = piece_at[np.searchsorted(starts, bounds)]

@@ -197,7 +197,7 @@ def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
-def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, encode_special_tokens: bool = True) -> None:
+def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, encode_special_tokens: bool = False) -> None:
     """Encodes docs by the tokenizer file at path, an end id behind each, and writes segments to the folder out.
 
     encode_special_tokens is the library's setting: whether a literal added token is text like any other (by the library's default it is its id).
@@ -206,7 +206,7 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).repartitionByRange(n, F.col("doc").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("t"))
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()), T.StructField("within", T.LongType()), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,14 +216,14 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str
         held: list[np.ndarray] = []
         names: list[pa.Array] = []
         sizes: list[np.ndarray] = []
-        total = seq = 0
+        total = seq = within = 0
 
         def segment() -> pa.RecordBatch:
             payload = encode_segment(np.concatenate(held))
             lengths = np.concatenate(sizes)
             docs_ = pa.concat_arrays(names)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), x) for x in (docs_, pa.array(lengths, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([total], pa.int64()), pa.array([payload], pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([total], pa.int64()), pa.array([within], pa.int64()), pa.array([payload], pa.binary())], names=schema.names)
 
         for batch in batches:
             for i, j in _runs(np.array(pc.binary_length(batch["t"].fill_null("")))):
@@ -236,7 +236,7 @@ def write(docs: DataFrame, path: str, out: str, *, end_id: int = 0, id_col: str
                 total += int(lengths.sum()) + len(lengths)
                 if total >= SEGMENT:
                     yield segment()
-                    held, names, sizes, total, seq = [], [], [], 0, seq + 1
+                    held, names, sizes, total, seq, within = [], [], [], 0, seq + 1, within + total
         if total:
             yield segment()
 
@@ -259,11 +259,9 @@ def checksums(spark: SparkSession, out: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, out: str, field: T.StructField, value) -> DataFrame:
     files = spark.read.parquet(out)
-    # where each task's ids begin: one row a task; then where each segment of a task begins
+    # where each task's ids begin: one row for each task that wrote, not for each segment
     by_part = files.groupBy("part").agg(F.sum("tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("part").orderBy("seq")
-    places = files.select("part", "seq", (F.sum("tokens").over(own) - F.col("tokens")).alias("within")).join(by_part, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
-    rows = files.join(F.broadcast(places), ["part", "seq"]).select("base", "docs", "sizes", "payload")  # a row of 24 bytes for each SEGMENT ids
+    rows = files.join(F.broadcast(by_part), "part").select((F.col("before") + F.col("within")).alias("base"), "docs", "sizes", "payload")
     schema = T.StructType([T.StructField("doc", files.schema["docs"].dataType.elementType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,7 +210,6 @@ def test_rans_files(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = [(i, f"Text {i} it's <|endoftext|> é漢") for i in range(50)] + [(60, None), (61, "")]
     folder = rans.new_folder(spark)
     rans.write(docs_of(spark, rows), path, folder)
