@@ -5,8 +5,9 @@ its successor it becomes one of eight symbols, and each symbol is a function fro
 run of letters, behind a prefixing space, ...) to the state after it. Functions compose associatively, so the
 states of all positions come from a scan in two levels: rows of symbols are composed side by side, the row
 functions are chained, and the rows are replayed from their true first states. A table of (state, symbol) then
-tells where pieces start. Pieces are slices of the batch's bytes; the merges of each
-(done by the compiled merge loop of the tiktoken library, one piece at a time) are cached.
+tells where pieces start. Pieces are slices of the batch's bytes. Those not known yet are merged all at once: in
+every step each piece merges its first pair of least rank, as a table of pairs gives it; pieces of more than 16 bytes
+go through the library's compiled loop one by one. What pieces become is kept for later batches.
 
 Decoding gathers the bytes of the ids; the offsets of ids in the text are kept.
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 #: Code points that are handled in one go.
 CHUNK = 1 << 19
 #: Pieces whose ids are kept by a worker.
-CACHED = 400_000
-#: Places of the table of short pieces, as a power of two.
-SLOTS = 21
+CACHED = 1_500_000
+#: Places of the table of short pieces, as a power of two, and places that are looked at for one.
+SLOTS, PROBES = 22, 4
+#: Bytes of a short piece.
+SHORT_PIECE = 16
 ROW = 256
 #: Keeps the first 0 to 8 bytes of a lane.
 KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -153,6 +155,76 @@ def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     return flat[np.repeat(offsets[index] - begins[:-1], lengths) + np.arange(begins[-1])], begins
 
 
+class Merges:
+    """Which pairs of ids merge, in which order and to what: a hash table in arrays, and the merging of many short pieces at once."""
+
+    NONE = np.int32(np.iinfo(np.int32).max)
+
+    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, made: np.ndarray) -> None:
+        """byte_ids: the id of each byte; a pair left, right of smaller rank merges first."""
+        self.byte_ids = byte_ids.astype(np.int32)
+        bits = max(10, int(2 * len(left)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, np.uint64(1 << 63))
+        self.ranks, self.made = np.full(1 << bits, self.NONE), np.zeros(1 << bits, np.int32)
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        place = (key * ODD >> self.shift).astype(np.int64)
+        todo = np.arange(len(key))
+        while len(todo):  # those that find their place taken go on to the next
+            free = todo[self.keys[place[todo]] == 1 << 63]
+            self.keys[place[free]] = key[free]
+            own = self.keys[place[todo]] == key[todo]
+            self.ranks[place[todo[own]]], self.made[place[todo[own]]] = rank[todo[own]], made[todo[own]]
+            todo = todo[~own]
+            place[todo] = (place[todo] + 1) & self.mask
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the table, or that of an empty one."""
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        place = (key * ODD >> self.shift).astype(np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            at = self.keys[place[todo]]
+            todo = todo[(at != key[todo]) & (at != 1 << 63)]
+            place[todo] = (place[todo] + 1) & self.mask
+        return place
+
+    def merge(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has. In every step each piece merges its first pair of least rank."""
+        n = len(size)
+        out = self.byte_ids[np.stack((low, high), axis=1).view(np.uint8)]
+        counts = size.copy()
+        width = int(size.max(initial=1))
+        ids = np.ascontiguousarray(out[:, :width])
+        left, right = ids[:, :-1].ravel(), ids[:, 1:].ravel()
+        place = np.zeros(n * (width - 1), np.int32)
+        real = np.flatnonzero((np.arange(1, width) < size[:, None]).ravel())
+        place[real] = self.find(left[real], right[real])
+        ranks = np.full(n * (width - 1), self.NONE)
+        ranks[real] = self.ranks[place[real]]
+        ranks, place = ranks.reshape(n, width - 1), place.reshape(n, width - 1)
+        rows, columns = np.arange(n), np.arange(width, dtype=np.int8)
+        while width > 1 and len(rows):
+            at = ranks.argmin(axis=1).astype(np.int8)
+            live = ranks[np.arange(len(rows)), at] != self.NONE
+            out[rows[~live], :width] = ids[~live]
+            rows, ids, ranks, place, at = rows[live], ids[live], ranks[live], place[live], at[live]
+            k = np.arange(len(rows))
+            merged = self.made[place[k, at]]
+            # what lies behind the pair moves up by one
+            behind = columns[:-1] >= at[:, None]
+            ids[:, 1:-1] = np.where(behind[:, :-1], ids[:, 2:], ids[:, 1:-1])
+            ids[k, at] = merged
+            counts[rows] -= 1
+            for x in (ranks, place):
+                x[:, :-1] = np.where(behind[:, :-1], x[:, 1:], x[:, :-1])
+            ranks[:, -1] = self.NONE
+            for pair, some in ((at - 1, np.flatnonzero(at > 0)), (at, np.flatnonzero(at + 1 < counts[rows]))):
+                p = self.find(ids[some, pair[some]], ids[some, pair[some] + 1])
+                ranks[some, pair[some]], place[some, pair[some]] = self.ranks[p], p
+        return out[np.arange(out.shape[1]) < counts[:, None]], counts
+
+
 class Codec:
     """Encoding and decoding by the ranks of a vocabulary file with a line of base64 and rank for each token."""
 
@@ -166,39 +238,71 @@ class Codec:
             lengths[rank] = len(token)
         self.bytes = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
-        self.merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+        ranks = self.ranks
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in tokens for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.merges = Merges(np.array([ranks[bytes([b])] for b in range(256)]), left, right, rank, rank)
+        self.merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = array("i"), array("q", [0])
+        self.known: dict[bytes, int] = {}  # long pieces
+        self.count = 0  # of pieces; the ids of each lie in ids from ends[k] to ends[k + 1]
+        self.ids, self.ends = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64)
         self.slots = np.full(1 << SLOTS, -1, np.int32)
-        self.low, self.high, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        for piece in pieces:
-            self.ids.extend(self.merge(piece))  # pair merging by ranks, compiled
-            self.ends.append(len(self.ids))
-            self.known[piece] = len(self.ends) - 2
+        self.low, self.high, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+
+    def append(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Keeps the ids of new pieces. The number of the first."""
+        first, n = self.count, self.count + len(counts)
+        room = lambda x, size: x if len(x) >= size else np.concatenate((x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)))
+        start = int(self.ends[first])
+        self.ids, self.ends = room(self.ids, start + len(ids)), room(self.ends, n + 1)
+        self.low, self.high, self.size = room(self.low, n), room(self.high, n), room(self.size, n)
+        self.ids[start : start + len(ids)] = ids
+        self.ends[first + 1 : n + 1] = start + np.cumsum(counts)
+        self.count = n
+        return first
 
     def numbers(self, data: bytes, cuts: np.ndarray) -> np.ndarray:
-        """The number of each piece among the known ones.
+        """The number of each piece among the known ones; new pieces become known.
 
-        Pieces of up to 16 bytes are compared, all at once and byte for byte, with the piece that holds their slot of a table; only the others are cut out and looked up by themselves.
+        Short pieces are compared byte for byte with those at their places of a table, all at once, and merged all at once; long ones are cut out and looked up one by one.
         """
         low, high, size = lanes_of(np.frombuffer(data, np.uint8), cuts)
-        slot = (((low * ODD ^ high) + size.astype(np.uint64)) * ODD >> np.uint64(64 - SLOTS)).astype(np.int64)
-        index = self.slots[slot].astype(np.int64)
-        missed = np.flatnonzero((index < 0) | (self.low[index] != low) | (self.high[index] != high) | (self.size[index] != size))
-        pieces = [data[a:b] for a, b in zip(cuts[missed].tolist(), cuts[missed + 1].tolist(), strict=True)]
-        known = self.known
-        self.learn(list({p for p in pieces if p not in known}))
-        index[missed] = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        while len(self.size) < len(known):
-            self.low, self.high, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.low, self.high, self.size))
-        free = missed[(size[missed] <= 16) & (self.slots[slot[missed]] < 0)]
-        self.slots[slot[free]] = index[free]
-        self.low[index[free]], self.high[index[free]], self.size[index[free]] = low[free], high[free], size[free]
+        key = ((low * ODD ^ high) + size.astype(np.uint64)) * ODD
+        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
+        mask = (1 << SLOTS) - 1
+        index = np.full(len(size), -1, np.int64)
+        todo = np.flatnonzero(size <= SHORT_PIECE)
+        for k in range(PROBES):
+            s = self.slots[(slot[todo] + k) & mask]
+            hit = (s >= 0) & (self.low[s] == low[todo]) & (self.high[s] == high[todo]) & (self.size[s] == size[todo])
+            index[todo[hit]] = s[hit]
+            todo = todo[~hit]
+        if len(todo):
+            todo = todo[np.argsort(key[todo], kind="stable")]
+            a, b = todo[1:], todo[:-1]
+            new = np.concatenate(([True], (low[a] != low[b]) | (high[a] != high[b]) | (size[a] != size[b])))
+            one = todo[new]
+            first = self.append(*self.merges.merge(low[one], high[one], size[one]))
+            index[todo] = first + np.cumsum(new) - 1
+            own = slice(first, self.count)
+            self.low[own], self.high[own], self.size[own] = low[one], high[one], size[one]
+            number = index[one]
+            for k in range(PROBES):
+                at = (slot[one] + k) & mask
+                free = self.slots[at] < 0
+                self.slots[at[free]] = number[free]
+                left = self.slots[at] != number
+                one, number = one[left], number[left]
+        long = np.flatnonzero(size > SHORT_PIECE)
+        for i, a, b in zip(long.tolist(), cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
+            piece = data[a:b]
+            if piece not in self.known:
+                ids = np.array(self.merge(piece), np.int32)  # by the library's compiled loop
+                self.known[piece] = self.append(ids, np.array([len(ids)]))
+            index[i] = self.known[piece]
         return index
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,11 +316,10 @@ class Codec:
         data = joined.encode()
         at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))) if len(data) > len(points) else np.arange(len(points) + 1)
         starts = piece_starts(symbols(points, np.unique(bounds[:-1][sizes > 0])))
-        if len(self.known) > CACHED:
+        if self.count > CACHED:
             self.forget()
         index = self.numbers(data, at[np.append(starts, len(points))])
-        ends = np.frombuffer(self.ends, np.int64).copy()
-        ids, piece_at = gather(np.frombuffer(self.ids, np.int32).copy(), ends, index)
+        ids, piece_at = gather(self.ids, self.ends, index)
         first = piece_at[np.searchsorted(starts, bounds)]
         lengths = self.offsets[ids + 1] - self.offsets[ids]
         begins = np.cumsum(lengths) - lengths

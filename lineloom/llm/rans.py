@@ -16,6 +16,7 @@ come first; rows that repeat an id are ordered by their text's hash; other colum
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Codec, _encode_long, _runs
+from .bpe import Codec, Merges, _encode_long, _runs
 from .bpe import CHUNK as POINTS
 from .common import shared_dir
 
@@ -167,13 +168,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class LibraryCodec(Codec):
-    """Pieces that aren't known yet go through the BPE model of the tokenizers library."""
+    """The vocabulary and merges of a file of the tokenizers library, which itself merges long pieces and encodes texts with added tokens."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         model, letters = self.tokenizer.model, _byte_letters()
+        ids = self.tokenizer.get_vocab(with_added_tokens=False)
+        with open(path, encoding="utf-8") as f:
+            pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in json.load(f)["model"]["merges"]]
+        left, right, made = np.array([(ids[a], ids[b], ids[a + b]) for a, b in pairs], np.int64).reshape(-1, 3).T
+        self.merges = Merges(np.array([ids[letters[b]] for b in range(256)]), left, right, np.arange(len(pairs)), made)
         self.merge = lambda piece: [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))]
         self.offsets = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
