@@ -19,7 +19,9 @@ for an id (any toxic wins) or without a document play no part; without labels of
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +43,10 @@ BROADCAST_ROWS = 1_000_000
 #: Prefixes of words that may become stems.
 STEM = (3, 7)
 WINDOW = 6
+#: First letters of a word by which most words are known not to match.
+BEGIN = 4
+#: Counts that a task holds before it hands them on.
+COUNTED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: A small default lexicon, and context words.
@@ -102,6 +108,19 @@ class Automaton:
                 to |= {(n, 1) for n in self.next[node].values() if n in self.long}  # another letter
         return self._state(to)
 
+    def alive(self, begin: str) -> bool:
+        """Whether a word that begins like this may match."""
+        state = self.begin
+        for c in begin:
+            items = self.sets[state]
+            if any(e == 0 and n in self.stem for n, e in items):
+                return True
+            moves = self.moves[state]
+            if (to := moves.get(c)) is None:
+                to = moves[c] = self._move(state, c)
+            state = to
+        return bool(self.sets[state])
+
     def match(self, word: str) -> int:
         """0: no term, 1: a term or stem, 2: a misspelled term."""
         state = self.begin
@@ -134,21 +153,31 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.automaton = Automaton(model.words, model.stems)
-        self.weights = np.array(model.weights)
+        self.weights = [float(w) for w in model.weights]
         self.known: dict[str, int] = {}
+        self.alive: dict[str, bool] = {}
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, bool, bool]], int]:
         """(begin, end, kind, quoted, addressed) of every hit, and the number of words."""
-        known, match = self.known, self.automaton.match
+        known, alive, match = self.known, self.alive, self.automaton.match
         if len(known) > 100_000:
             known.clear()
+        if len(alive) > 200_000:
+            alive.clear()
         lowered = text.lower()
-        found, n = [], 0
-        for n, w in enumerate(WORD.findall(lowered), 1):
+        words = WORD.findall(lowered)
+        n = len(words)
+        begins = [w[:BEGIN] for w in words]
+        for b in set(begins):  # most words end with their first letters
+            if b not in alive:
+                alive[b] = self.automaton.alive(b)
+        found = []
+        for i in [i for i, b in enumerate(begins) if alive[b]]:
+            w = words[i]
             if (kind := known.get(w)) is None:
                 kind = known[w] = match(w)
             if kind:
-                found.append((n - 1, kind))
+                found.append((i, kind))
         if not found:
             return [], n
         spans = [m.span() for m in WORD.finditer(lowered)]
@@ -166,37 +195,47 @@ class Scorer:
         hits, n = self.hits(text or "")
         exact, fuzzy = sum(k == 1 for _, _, k, _, _ in hits), sum(k == 2 for _, _, k, _, _ in hits)
         share = lambda x: x / len(hits) if hits else 0.0
-        return [1.0, np.log1p(exact), np.log1p(fuzzy), min(1.0, 20 * exact / n) if n else 0.0, share(sum(q for *_, q, _ in hits)), share(sum(a for *_, a in hits)), float(exact > 0)]
+        return [1.0, math.log1p(exact), math.log1p(fuzzy), min(1.0, 20 * exact / n) if n else 0.0, share(sum(q for *_, q, _ in hits)), share(sum(a for *_, a in hits)), float(exact > 0)]
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.dot(self.weights, self.features(text)))))
+        return 1 / (1 + math.exp(min(700.0, -sum(w * x for w, x in zip(self.weights, self.features(text), strict=True)))))
 
 
-def _terms(texts: DataFrame) -> DataFrame:
-    """term, stem, toxic, n: in how many rows of each label a word, or a prefix of words, occurs. Counted before it is shuffled."""
+def _terms(texts: DataFrame, held: tuple[set[str], set[str]] | None = None) -> DataFrame:
+    """term, stem, n: in how many rows a word, or a prefix of words, occurs. Counted before it is shuffled. held: the words and stems to count, if not all."""
+    words_, stems_ = held or (None, None)
+    begins = {s[: STEM[0]] for s in stems_ or ()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bool, int], int] = {}
+        words, stems = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            keys = list(counts)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], names=["term", "stem", "toxic", "n"])
-            counts.clear()
+            made = pa.RecordBatch.from_arrays([pa.array([*words, *stems], pa.string()), pa.array([False] * len(words) + [True] * len(stems), pa.bool_()), pa.array([*words.values(), *stems.values()], pa.int64())], names=["term", "stem", "n"])
+            words.clear()
+            stems.clear()
             return made
 
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = set(WORD.findall((text.as_py() or "").lower()))
-                seen = {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
-                for term, stem in seen:
-                    key = (term, stem, toxic.as_py())
-                    counts[key] = counts.get(key, 0) + 1
-                if len(counts) > 100_000:
+            for text in batch["text"]:
+                own = set(WORD.findall((text.as_py() or "").lower()))
+                words.update(own if words_ is None else own & words_)
+                some = own if stems_ is None else [w for w in own if w[: STEM[0]] in begins]
+                parts = {w[:k] for w in some for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
+                stems.update(parts if stems_ is None else parts & stems_)
+                if len(words) + len(stems) > COUNTED:
                     yield out()
-        if counts:
+        if words or stems:
             yield out()
 
-    return texts.mapInArrow(run, "term string, stem boolean, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    return texts.select("text").mapInArrow(run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+
+
+def _held(terms: DataFrame) -> tuple[set[str], set[str]] | None:
+    """The words and the stems among terms, if they are few enough to be sent to the tasks."""
+    rows = terms.select("term", "stem").limit(HELD_TERMS + 1).collect()
+    if len(rows) > HELD_TERMS:
+        return None
+    return {r["term"] for r in rows if not r["stem"]}, {r["term"] for r in rows if r["stem"]}
 
 
 def _distinct(texts: DataFrame) -> tuple[DataFrame, int, int]:
@@ -210,9 +249,7 @@ def _distinct(texts: DataFrame) -> tuple[DataFrame, int, int]:
 
 def _contexts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """terms (term, stem, ...) with contexts: in how many different pairs of neighbouring words each occurs. Hashes stand for pairs."""
-    held = terms.select("term", "stem").limit(HELD_TERMS + 1).collect()
-    few = len(held) <= HELD_TERMS
-    words, stems = ({r["term"] for r in held if r["stem"] == stem} if few else None for stem in (False, True))
+    words, stems = _held(terms) or (None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,16 +314,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, min_rows: int = 8) -> Model:
     """A model from all labelled rows. What reaches the driver is the terms that pass all tests, up to HELD_TERMS candidates and at most fit_rows rows of features."""
-    marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("marked")).agg(F.max(label_col).cast("int").alias("toxic"))
     if marks.count() <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    texts = materialize(docs.join(marks, docs[id_col] == F.col("__id")).select(F.col("__id").alias("id"), F.col(text_col).alias("text"), "toxic", F.md5(F.col(text_col).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row")), "toxicity-labelled")
+    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("marked")).select("id", "text", "toxic", F.md5(F.col("text").cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row")), "toxicity-labelled")
     different, n1, n0 = _distinct(texts)
     if not n1 or not n0:
         return Model()
     gain = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
     # a marking term is toxic nearly wherever it occurs, beyond what chance gives among so many terms
-    counted = materialize(_terms(different).filter((F.col("n1") >= max(3, min(min_rows, n1 // 50))) & (F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14)), "toxicity-terms")
+    often = materialize(_terms(different.filter("toxic = 1")).filter(F.col("n") >= max(3, min(min_rows, n1 // 50))).select("term", "stem", F.col("n").alias("n1")), "toxicity-often")
+    elsewhere = _terms(different.filter("toxic = 0"), _held(often)).select("term", "stem", F.col("n").alias("n0"))
+    both = often.join(elsewhere, ["term", "stem"], "left").select("term", "stem", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
+    counted = materialize(both.filter((F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14)), "toxicity-terms")
     marking = _contexts(different.filter("toxic = 1").select("text"), counted).filter(F.col("contexts") >= F.greatest(F.lit(3.0), 0.3 * F.col("n1")))
     words, stems = _lexicon(marking.collect(), n1, n0)
     model = Model(sorted({*words, *TERMS}), sorted(stems))
