@@ -36,10 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import discard, materialize, row_key
 from .shingles import mix, shingle_sets
 
 MAX_ROUNDS = 2
+#: How often classes that share too few pieces go before any are compared.
+SIEVES = 1
 #: Rows of a group that are compared with each other in one go.
 CHUNK_ROWS = 256
 #: Words of the least sketch.
@@ -47,7 +49,7 @@ SKETCH_WORDS = 8
 #: Sets of a batch that tell a frequent piece to the task that gathers it.
 HOT = 16
 #: Keys that a worker gathers before it looks for frequent ones, and words of sketches that it compares in one go.
-KEYS, COMPARED = 500_000, 1 << 20
+KEYS, COMPARED = 250_000, 1 << 20
 
 
 class Bands:
@@ -64,7 +66,8 @@ class Bands:
     def pieces(self, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each band: pieces, and how many of them may be empty before empty ones must be keys as well.
 
-        D + 1 pieces guarantee an agreement; E more guarantee one in a piece with shingles, if no more than E are empty.
+        D + 1 pieces guarantee an agreement; E more guarantee E more. So there is one in a piece with shingles, if no more than
+        E are empty, and a set that shares fewer pieces with others than that guarantees links with none.
         """
         top = int(band.max(initial=0)) + 2
         while len(self.low) <= top:
@@ -73,13 +76,13 @@ class Bands:
         for b in range(top):
             differ = (self.den - self.num) * 2 * (self.low[b + 1] - 1) // (self.den + self.num)
             empty = (differ + 1) * math.exp(-self.low[b] / (differ + 1))
-            spare[b] = max(0, math.ceil(empty + 2 * math.sqrt(empty) - 0.25)) if differ else 0
+            spare[b] = max(0, math.ceil(empty + 2 * math.sqrt(empty) - 0.25)) + min(3, differ // 6) if differ else 0
             count[b] = differ + 1 + spare[b] if differ else 0  # no difference allowed: only equal sets, which are one class already
         return count[band], spare[band]
 
 
-def piece_keys(sets: list[np.ndarray], bands: Bands, up: bool) -> list[np.ndarray]:
-    """For each set the keys of its pieces, in its own band or (up) as seen from the next band."""
+def piece_keys(sets: list[np.ndarray], bands: Bands, up: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each set the keys of its pieces, in its own band or (up) as seen from the next band, and how many of them it shares with every set it links with, at least."""
     n = np.array([len(s) for s in sets], np.int64)
     bands.grow(int(n.max(initial=0)))
     band = np.searchsorted(bands.low, n, "right") - 1 + up
@@ -102,7 +105,8 @@ def piece_keys(sets: list[np.ndarray], bands: Bands, up: bool) -> list[np.ndarra
     keys = mix(bits ^ mix((band[of] * (1 << 32) + number).astype(np.uint64)))
     empty = np.bincount(of[~filled], minlength=len(sets))
     keep = filled | (empty > spare)[of]
-    return np.split(keys[keep].view(np.int64), np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1]) if sets else []
+    need = spare + 1 - np.where(empty > spare, 0, empty)
+    return np.split(keys[keep].view(np.int64), np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1]) if sets else [], need
 
 
 def sketch_words(n: np.ndarray) -> np.ndarray:
@@ -170,7 +174,7 @@ def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
 
 
 def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
-    """key, deal, code, leader: the pieces of every class; code is twice the class id, plus 1 for a piece as seen from the next band.
+    """key, deal, code, leader, need: the pieces of every class; code is twice the class id, plus 1 for a piece as seen from the next band.
 
     A task tells the copies of a set once. Of the sets of a batch that share a piece, HOT of either kind are dealt by the piece
     alone (deal is null); the others have one of those as their leader and are dealt by their class as well.
@@ -181,11 +185,12 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
         told: set[int] = set()
         keys: list[np.ndarray] = []
         codes: list[np.ndarray] = []
+        needs: list[np.ndarray] = []
 
         def batch_of() -> pa.RecordBatch:
-            key, code = np.concatenate(keys), np.concatenate(codes)
-            keys.clear()
-            codes.clear()
+            key, code, need = np.concatenate(keys), np.concatenate(codes), np.concatenate(needs)
+            for x in (keys, codes, needs):
+                x.clear()
             order = np.lexsort((code & 1, key))
             sorted_key, sorted_code = key[order], code[order]
             new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
@@ -195,7 +200,7 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
             more, leader = np.empty(len(key), bool), np.empty(len(key), np.int64)
             more[order], leader[order] = rank >= HOT, sorted_code[start]
             # in the order of the sets, whose codes then compress well
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code, mask=~more), pa.array(code), pa.array(leader, mask=~more)], names=["key", "deal", "code", "leader"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code, mask=~more), pa.array(code), pa.array(leader, mask=~more), pa.array(need, pa.int16())], names=["key", "deal", "code", "leader", "need"])
 
         for batch in batches:
             for _, sets in shingle_sets(batch["t"], width):
@@ -206,15 +211,27 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
                         new.append((k, c))
                 sets, ids = [sets[k] for k, _ in new], np.array([c for _, c in new], np.int64)
                 for up in (0, 1):
-                    own = piece_keys(sets, bands, bool(up))
+                    own, need = piece_keys(sets, bands, bool(up))
+                    counts = [len(k) for k in own]
                     keys += own
-                    codes.append(np.repeat(2 * ids + up, [len(k) for k in own]))
+                    codes.append(np.repeat(2 * ids + up, counts))
+                    needs.append(np.repeat(need.astype(np.int16), counts))
                 if sum(map(len, keys)) > KEYS:
                     yield batch_of()
         if sum(map(len, keys)):
             yield batch_of()
 
-    return docs.mapInArrow(run, "key long, deal long, code long, leader long")
+    return docs.mapInArrow(run, "key long, deal long, code long, leader long, need short")
+
+
+def key_groups(keyed: DataFrame) -> DataFrame:
+    """Those rows (key, deal, code, leader, ...) that share their key with another class, with the group's pivot; repeated rows once."""
+    in_order = Window.partitionBy("key", "deal").orderBy("code")
+    by_key = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind = F.struct(F.col("code").bitwiseAND(1).alias("up"), F.col("code").alias("code"))
+    seen = keyed.select("*", F.min(kind).over(by_key).alias("least"), F.min("code").over(by_key).alias("lo"), F.max("code").over(by_key).alias("hi"), F.lag("code").over(in_order).eqNullSafe(F.col("code")).alias("again"))
+    grouped = (F.shiftright("lo", 1) != F.shiftright("hi", 1)) & (F.col("least.up") == 0)
+    return seen.filter(~F.col("again") & (grouped | F.col("leader").isNotNull())).select(*keyed.columns, F.coalesce("leader", "least.code").alias("pivot"))
 
 
 def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -375,12 +392,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     repeated = not rows.groupBy("doc", "row_key").count().filter("count > 1").isEmpty()
 
     # groups of classes that agree in a piece and hold a class of the piece's own band
-    in_order = Window.partitionBy("key", "deal").orderBy("code")
-    by_key = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cid, up = F.shiftright("code", 1), F.col("code").bitwiseAND(1)
-    keyed = key_rows(texts, width, num, den, salt).select("key", cid.alias("cid"), up.cast("byte").alias("up"), F.shiftright("leader", 1).alias("leader"), F.min(F.struct(up.alias("up"), cid.alias("cid"))).over(by_key).alias("pivot"), F.min("code").over(by_key).alias("lo"), F.max("code").over(by_key).alias("hi"), F.lag("code").over(in_order).eqNullSafe(F.col("code")).alias("again"))
-    grouped = (F.shiftright("lo", 1) != F.shiftright("hi", 1)) & (F.col("pivot.up") == 0)
-    members = materialize(keyed.filter(~F.col("again") & (grouped | F.col("leader").isNotNull())).select("key", "cid", "up", F.coalesce("leader", "pivot.cid").alias("pivot")), "jaccard-groups")
+    groups = materialize(key_groups(key_rows(texts, width, num, den, salt)), "jaccard-groups")
+    for _ in range(SIEVES):  # a class that shares too few pieces with all others together links with none of them
+        able = groups.groupBy("code").agg(F.count("*").alias("shares"), F.max("need").alias("need")).filter("shares >= need").select("code")
+        fewer = materialize(key_groups(groups.drop("pivot").join(able, "code", "left_semi")), "jaccard-groups")
+        discard(groups)
+        groups = fewer
+    members = groups.select("key", F.shiftright("code", 1).alias("cid"), F.col("code").bitwiseAND(1).cast("byte").alias("up"), F.shiftright("pivot", 1).alias("pivot"))
 
     held: list[DataFrame] = []  # the texts of the classes that were needed so far
 
@@ -422,6 +440,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         # all that may link in a group is connected, if all its pairs in a forest do
         open_keys = found.join(more, ["a", "b"], "left_anti").select("key").distinct()
         left = left.select("key", "cid", "up").join(open_keys, "key", "left_semi")
+    for used in (groups, *held):  # what comes below reads rows, classes and roots only
+        discard(used)
 
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least_doc", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_doc").alias("component_id"))

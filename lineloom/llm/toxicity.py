@@ -46,7 +46,7 @@ WINDOW = 6
 #: First letters of a word by which most words are known not to match.
 BEGIN = 4
 #: Counts that a task holds before it hands them on.
-COUNTED = 300_000
+COUNTED = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: A small default lexicon, and context words.
@@ -201,10 +201,8 @@ class Scorer:
         return 1 / (1 + math.exp(min(700.0, -sum(w * x for w, x in zip(self.weights, self.features(text), strict=True)))))
 
 
-def _terms(texts: DataFrame, held: tuple[set[str], set[str]] | None = None) -> DataFrame:
-    """term, stem, n: in how many rows a word, or a prefix of words, occurs. Counted before it is shuffled. held: the words and stems to count, if not all."""
-    words_, stems_ = held or (None, None)
-    begins = {s[: STEM[0]] for s in stems_ or ()}
+def _terms(texts: DataFrame) -> DataFrame:
+    """term, stem, n: in how many rows a word, or a prefix of words, occurs. Counted before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems = Counter(), Counter()
@@ -218,10 +216,8 @@ def _terms(texts: DataFrame, held: tuple[set[str], set[str]] | None = None) -> D
         for batch in batches:
             for text in batch["text"]:
                 own = set(WORD.findall((text.as_py() or "").lower()))
-                words.update(own if words_ is None else own & words_)
-                some = own if stems_ is None else [w for w in own if w[: STEM[0]] in begins]
-                parts = {w[:k] for w in some for k in range(STEM[0], min(STEM[1], len(w)) + 1)}
-                stems.update(parts if stems_ is None else parts & stems_)
+                words.update(own)
+                stems.update({w[:k] for w in own for k in range(STEM[0], min(STEM[1], len(w)) + 1)})
                 if len(words) + len(stems) > COUNTED:
                     yield out()
         if words or stems:
@@ -324,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     gain = F.log(((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1)))
     # a marking term is toxic nearly wherever it occurs, beyond what chance gives among so many terms
     often = materialize(_terms(different.filter("toxic = 1")).filter(F.col("n") >= max(3, min(min_rows, n1 // 50))).select("term", "stem", F.col("n").alias("n1")), "toxicity-often")
-    elsewhere = _terms(different.filter("toxic = 0"), _held(often)).select("term", "stem", F.col("n").alias("n0"))
+    elsewhere = _terms(different.filter("toxic = 0")).select("term", "stem", F.col("n").alias("n0"))
     both = often.join(elsewhere, ["term", "stem"], "left").select("term", "stem", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
     counted = materialize(both.filter((F.col("n1") >= 9 * F.col("n0")) & (gain * F.col("n1") >= 14)), "toxicity-terms")
     marking = _contexts(different.filter("toxic = 1").select("text"), counted).filter(F.col("contexts") >= F.greatest(F.lit(3.0), 0.3 * F.col("n1")))
