@@ -8,7 +8,9 @@ mention's own form: separators, case, country codes, check digits (Luhn, mod 97)
 
 Collision checks: two parts of a type must not share a surrogate, and no surrogate may be a part that occurs
 in the corpus. Parts that fail go to the next attempt, in rounds over the distinct parts, until none fails;
-the surviving part is the one with the smallest keyed hash. Only parts beyond attempt 0 are then joined to the
+the surviving part is the one with the smallest keyed hash. Names grow by a syllable with each attempt, other parts from
+attempt FORMAT_ATTEMPTS on by a digit, so that no corpus is too large. A surname that comes again without its given name
+is replaced as in the full name. Only parts beyond attempt 0 are then joined to the
 documents that mention them, so that frequent parts cause no skew and texts without them aren't shuffled.
 
 Defined results: a null text stays null and an empty one empty, both with 0 mentions; text outside mentions
@@ -18,19 +20,21 @@ pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import barrier, let, materialize, row_key
 
-MAX_ROUNDS = 60
+#: Attempts within the mention's own format; surrogates of later attempts are longer than it, so that a free one is always found.
+FORMAT_ATTEMPTS = 20
 
 #: Given names by script and gender that open a name, and titles by gender.
 GIVEN = {
     ("latin", "f"): "Mary Maria Anna Emma Laura Julia Sarah Linda Susan Lisa Sophie Marie Claire Camille Carmen Lucia Elena Sofia Isabel Helga Ingrid Petra Sabine Monika Jennifer Patricia Elizabeth Barbara Jessica Karen Nancy Margaret Alice".split(),
     ("latin", "m"): "John James Robert Michael William David Richard Thomas Charles Daniel Peter Paul Jean Pierre Louis Jacques Juan Carlos Jose Miguel Pedro Luis Hans Klaus Wolfgang Stefan Karl Friedrich George Edward Henry Andrew Mark Steven".split(),
+    ("latin", "n"): "Priya Aisha Fatima Mei Yuki Ahmed Mohammed Muhammad Ali Omar Hassan Raj Arjun Wei Chen Hiroshi Kenji Kofi Kwame Olu Ana João Luca Marco Giulia Francesca Mateo Diego Javier Ines Chloé Léa Hugo".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Александр Дмитрий Сергей Андрей Алексей Михаил Николай Владимир Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
@@ -41,19 +45,23 @@ TITLES = {"f": ["Mrs", "Ms", "Miss", "Mme", "Frau", "Señora", "Sra"], "m": ["Mr
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta".split(), "cyrillic": "ба бе бо да де до ва ве га го ка ке ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се та".split(), "greek": "βα βε βο δα δε δο φα φε γα γο κα κε λα λε λι λο μα με μι μο να νε νο πα πε ρα ρε ρι ρο σα σε τα".split()}
 ENDINGS = {("latin", "f"): "lia", ("latin", "m"): "ton", ("latin", "n"): "rel", ("cyrillic", "f"): "лия", ("cyrillic", "m"): "тон", ("cyrillic", "n"): "рел", ("greek", "f"): "λια", ("greek", "m"): "τος", ("greek", "n"): "ρελ"}
 
-_names = "|".join(n for names in GIVEN.values() for n in names)
-_titles = "|".join(t for titles in TITLES.values() for t in titles)
+_given = [n for names in GIVEN.values() for n in names]
+_names = "|".join(_given + [n.upper() for n in _given])
+#: Titles as they are written, and in capitals.
+_TITLED = [t for titles in TITLES.values() for t in titles]
+_TITLED += [t.upper() for t in _TITLED]
+_titles = "|".join(_TITLED)
 _cap = r"\p{Lu}[\p{L}'’-]*\p{L}"
 #: Types in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,4}(?![0-9A-Fa-f:])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
     "secret": r"(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
-    "name": rf"(?:(?:{_titles})\.? {_cap}(?: {_cap})?|(?:{_names}) {_cap})",
+    "name": rf"(?=\p{{Lu}})(?:(?:{_titles})\.? {_cap}(?: {_cap})?|(?:{_names})(?:-\p{{Lu}}\p{{L}}+)? {_cap})",
 }
 PII = r"(?<![\p{L}\p{N}_@])(?:" + "|".join(PATTERNS.values()) + ")"
 TYPES = list(PATTERNS)
@@ -89,7 +97,8 @@ def _script(word: Column) -> Column:
 
 
 def _gender(word: Column) -> Column:
-    return F.when(F.lower(word).isin([n.lower() for (_, g), names in GIVEN.items() if g == "f" for n in names] + [t.lower() for t in TITLES["f"]]), F.lit("f")).when(F.lower(word).isin([n.lower() for (_, g), names in GIVEN.items() if g == "m" for n in names] + [t.lower() for t in TITLES["m"]]), F.lit("m")).otherwise(F.lit("n"))
+    first = F.lower(F.substring_index(word, "-", 1))
+    return F.when(first.isin([n.lower() for (_, g), names in GIVEN.items() if g == "f" for n in names] + [t.lower() for t in TITLES["f"]]), F.lit("f")).when(first.isin([n.lower() for (_, g), names in GIVEN.items() if g == "m" for n in names] + [t.lower() for t in TITLES["m"]]), F.lit("m")).otherwise(F.lit("n"))
 
 
 def _part(kind: Column | str, canon: Column) -> Column:
@@ -98,7 +107,7 @@ def _part(kind: Column | str, canon: Column) -> Column:
 
 def parts(mention: Column, kind: Column) -> Column:
     """The parts of a mention that get surrogates: array of kind and canonical form. Titles are no parts."""
-    words = F.filter(F.split(mention, r"\.? "), lambda w: ~w.isin([t for ts in TITLES.values() for t in ts]))
+    words = F.filter(F.split(mention, r"\.? "), lambda w: ~w.isin(_TITLED))
     titled = mention.rlike(rf"^(?:{_titles})\.? ")
 
     def name(w: Column, i: Column) -> Column:
@@ -154,7 +163,12 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         n = lambda at, m: F.conv(F.substr(hexed, F.lit(at), F.lit(6)), 16, 10).cast("int") % m
         decimal = F.translate(hexed, "abcdef", "012345")
         syllables = {s: F.concat(*[F.array(*map(F.lit, v))[n(1 + 6 * i, len(v))] for i in range(4)]) for s, v in SYLLABLES.items()}
-        name = reduce(lambda rest, k: F.when(kind.rlike(f"_{k[1]}_{k[0]}$"), F.concat(syllables[k[0]], F.lit(ENDINGS[k]))).otherwise(rest), ENDINGS, F.lit(""))
+        def syllable(values: list[str], i: Column) -> Column:
+            return F.get(F.array(*map(F.lit, values)), F.conv(F.substr(F.sha2(F.concat_ws("\x1f", hexed, i.cast("string")), 256), F.lit(1), F.lit(6)), 16, 10).cast("int") % len(values))
+
+        more = {s: F.array_join(F.transform(F.sequence(F.lit(1), attempt), partial(syllable, v)), "") for s, v in SYLLABLES.items()}
+        longer = lambda s: F.when(attempt > 0, F.concat(syllables[s], more[s])).otherwise(syllables[s])
+        name = reduce(lambda rest, k: F.when(kind.rlike(f"_{k[1]}_{k[0]}$"), F.concat(longer(k[0]), F.lit(ENDINGS[k]))).otherwise(rest), ENDINGS, F.lit(""))
         body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(decimal, F.lit(1), F.length(canon) - 2))
         card = let(body, lambda b: F.when(_luhn_sum(canon) == 0, F.concat(b, ((10 - _luhn_sum(F.concat(b, F.lit("0")))) % 10).cast("string"))).otherwise(F.concat(b, F.substr(decimal, F.lit(40), F.lit(1)))))
         country, account = F.substr(canon, F.lit(1), F.lit(2)), _chars(F.substr(canon, F.lit(5)), hexed)
@@ -163,6 +177,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         return (
             F.when(kind == "local", F.concat(syllables["latin"], F.lit("."), F.substr(hexed, F.lit(30), F.lit(4))))
             .when(kind == "domain", F.concat(F.substr(F.sha2(hexed, 256), F.lit(1), F.lit(8)), F.lit(".example.com")))
+            .when((kind == "ip") & canon.contains(":"), F.concat_ws(":", *[F.substr(hexed, F.lit(1 + 4 * i), F.lit(4)) for i in range(8)]))
             .when(kind == "ip", F.concat_ws(".", *[(n(1 + 6 * i, 254) + 1).cast("string") for i in range(4)]))
             .when(kind == "phone", F.substr(decimal, F.lit(1), F.length(canon)))
             .when(kind == "card", card)
@@ -172,7 +187,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
             .otherwise(name)
         )
 
-    return let(h, made)
+    beyond = F.greatest(attempt - FORMAT_ATTEMPTS, F.lit(0))
+    return let(h, lambda x: F.concat(made(x), F.substr(F.translate(F.sha2(x, 256), "abcdef", "012345"), F.lit(1), beyond)))
 
 
 def _cased(word: Column, like: Column) -> Column:
@@ -192,7 +208,10 @@ def _poured(mention: Column, values: Column) -> Column:
 
 def rendered(mention: Column, kind: Column, found: Column, chosen: Column) -> Column:
     """The mention with its parts (found) replaced by their surrogates (chosen), in the mention's form."""
-    named = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), mention, lambda m, i: F.regexp_replace(m, F.concat(F.lit(r"(?iu)(?<![\p{L}])\Q"), found[i]["canon"], F.lit(r"\E(?![\p{L}])")), _cased(chosen[i], F.regexp_substr(m, F.concat(F.lit(r"(?iu)(?<![\p{L}])\Q"), found[i]["canon"], F.lit(r"\E(?![\p{L}])"))))))
+    words = F.split(mention, " ")
+    title = lambda w: F.regexp_replace(w, r"\.$", "").isin(_TITLED)
+    number = lambda i: F.size(F.filter(F.slice(words, F.lit(1), i + 1), lambda w: ~title(w))) - 1
+    named = F.array_join(F.transform(words, lambda w, i: F.when(title(w), w).otherwise(_cased(F.get(chosen, number(i)), w))), " ")
     return (
         F.when(kind == "email", F.when(mention == F.upper(mention), F.upper(F.concat(chosen[0], F.lit("@"), chosen[1]))).otherwise(F.concat(chosen[0], F.lit("@"), chosen[1])))
         .when(kind == "name", named)
@@ -209,7 +228,8 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
     order = lambda: F.struct(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256), "canon")
     settled = None  # parts with their surrogate, by round
     late: list[DataFrame] = []
-    for r in range(MAX_ROUNDS):
+    r = 0
+    while True:
         tried = taken.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("s"), order().alias("o"))
         real = every.select(F.col("kind").alias("rk"), F.col("canon").alias("rs"))
         first = tried.groupBy("kind", "s").agg(F.min("o").alias("first"))
@@ -223,10 +243,9 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         if r:
             late.append(done.filter("free").select("kind", "canon", "attempt"))
         taken = done.filter("not free").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        r += 1
         if taken.isEmpty():
             break
-    else:
-        raise RuntimeError("some parts found no free surrogate: their format holds too few values")
     return reduce(DataFrame.unionByName, late) if late else every.limit(0).select("kind", "canon", zero.alias("attempt"))
 
 
@@ -253,7 +272,12 @@ def pseudonymize(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
         return let(chosen, lambda c: rendered(x["m"], x["k"], x["parts"], c))
 
     done = barrier(whole, "__new", F.transform("__mentions", replaced))
-    text = F.array_join(F.transform("__pieces", lambda x, i: F.when(i % 2 == 1, F.get("__new", (i / 2).cast("int"))).otherwise(x)), "")
+    # surnames of full names, and what stands for them, where they come again by themselves
+    last = lambda x: F.regexp_substr(x, F.lit(r"[^ ]+$"))
+    full = F.filter(F.zip_with("__mentions", "__new", lambda m, new: F.struct(m["k"].alias("k"), last(m["m"]).alias("was"), last(new).alias("now"))), lambda x: (x["k"] == "name") & (F.length(x["was"]) > 2))
+    done = barrier(done, "__again", F.array_distinct(F.flatten(F.transform(full, lambda x: F.array(F.struct(x["was"].alias("was"), x["now"].alias("now")), F.struct(F.upper(x["was"]).alias("was"), F.upper(x["now"]).alias("now")))))))
+    again = lambda x: F.aggregate("__again", x, lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}_@.-])\Q"), s["was"], F.lit(r"\E(?![\p{L}\p{N}_@-])")), s["now"]))
+    text = F.array_join(F.transform("__pieces", lambda x, i: F.when(i % 2 == 1, F.get("__new", (i / 2).cast("int"))).when(F.size("__again") > 0, again(x)).otherwise(x)), "")
     text = F.when(F.size("__mentions") > 0, text).otherwise(F.col(text_col))
     counts = [F.map_from_arrays(F.array(*map(F.lit, TYPES)), F.array(*[F.coalesce(F.size(F.filter("__mentions", _of(t))), F.lit(0)) for t in TYPES])).alias(count_col)] if count_col else []
     return done.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
