@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key
+from .common import discard, free_name, materialize, row_key
 from .shingles import mix, shingle_sets
 
 MAX_ROUNDS = 2
@@ -375,9 +375,15 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The classes and components of documents, as in classified."""
+    return classified(docs, width, num, den, id_col, text_col)[0]
+
+
+def classified(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """doc, row_key, n_shingles, class_id, component_id, component: a row for each row of docs.
 
     class_id names the different sets, component the connected ones (ids alone can't, where they repeat); null for empty sets. Rows link when den * intersection >= num * union.
+    Also the pairs doc, row_key that several rows have, or None where there are none.
     """
     texts = docs.select(F.col(id_col).alias("doc"), row_key(F.col(text_col)).alias("row_key"), F.col(text_col).alias("t"))
     salt = 0
@@ -389,7 +395,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
         if classes.filter("not one").isEmpty():
             break
         salt += 1
-    repeated = not rows.groupBy("doc", "row_key").count().filter("count > 1").isEmpty()
+    several = materialize(rows.groupBy("doc", "row_key").count().filter("count > 1").select("doc", "row_key"), "jaccard-repeated")
+    repeated = not several.isEmpty()
 
     # groups of classes that agree in a piece and hold a class of the piece's own band
     groups = materialize(key_groups(key_rows(texts, width, num, den, salt)), "jaccard-groups")
@@ -448,17 +455,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     final = placed.join(least, "root").select(F.col("cid").alias("class_id"), "component_id", F.col("root").alias("component"))
     out = rows.withColumn("cid", F.when(F.col("n") > 0, F.col("cid"))).join(final, F.col("cid") == F.col("class_id"), "left")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return out.select("doc", "row_key", F.col("n").alias("n_shingles"), "class_id", alone.alias("component_id"), "component")
+    return out.select("doc", "row_key", F.col("n").alias("n_shingles"), "class_id", alone.alias("component_id"), "component"), several if repeated else None
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest id, and of equal ids the smallest text hash.
 
     Of rows that are equal in both, one stays. Rows without words are no duplicates of each other, but of rows that are equal to them.
+    What is joined to the texts is the rows that go.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    alone = F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.struct("doc", "row_key"))
-    kept = found.groupBy("component", alone.alias("alone")).agg(F.min(F.struct("doc", "row_key")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.row_key").alias("__key"))
-    own = docs.withColumn("__own", row_key(F.col(text_col)))
-    joined = own.join(kept, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__key")), "left_semi")
-    return joined.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    found, several = classified(docs, width, num, den, id_col, text_col)
+    own = F.struct("doc", "row_key")
+    linked = found.filter("n_shingles > 0")
+    first = linked.groupBy("component").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("component").alias("group"), "first")
+    gone = materialize(linked.join(first, F.col("component") == F.col("group")).filter(~own.eqNullSafe(F.col("first"))).select("doc", "row_key"), "jaccard-gone")
+    key = free_name(docs, "row_key_")
+    keyed = docs.withColumn(key, row_key(F.col(text_col)))
+    same = lambda rows: keyed[id_col].eqNullSafe(rows["doc"]) & (keyed[key] == rows["row_key"])
+    if several is None:
+        return keyed.join(gone, same(gone), "left_anti").select(*docs.columns)
+    once = keyed.join(gone.unionByName(several), same(gone), "left_anti")
+    again = several.join(gone, several["doc"].eqNullSafe(gone["doc"]) & (several["row_key"] == gone["row_key"]), "left_anti")
+    return once.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates([id_col, key])).select(*docs.columns)
