@@ -204,7 +204,7 @@ def rule(x: Column, kind: str, *v) -> Column:
 
 #: Default ports, and public suffixes of two parts.
 PORTS = {"http": "80", "https": "443", "ftp": "21", "ssh": "22"}
-TWO_PART = ["co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "com.au", "net.au", "co.nz", "com.br", "co.in", "co.za", "com.cn"]
+TWO_PART = ["co.uk", "co.jp", "co.kr", "com.br", "com.au", "com.cn", "org.uk", "net.au", "ac.uk", "gov.uk", "co.nz", "com.mx"]
 
 
 def url_part(x: Column, name: str) -> Column:
@@ -241,8 +241,9 @@ def registered_domain(host: Column) -> Column:
 
 # scripts ------------------------------------------------------------------------------------------------------
 
-#: Letters without a decomposition.
-LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "œ": "oe", "Œ": "OE"}
+#: Letters that become something else than themselves without marks, and those beyond Latin-1 that have a plain form.
+LETTERS = {"Ä": "Ae", "Æ": "Ae", "Ð": "D", "Ö": "Oe", "Ø": "O", "Ü": "Ue", "Þ": "Th", "ß": "ss", "ä": "ae", "æ": "ae", "ð": "d", "ö": "oe", "ø": "o", "ü": "ue", "þ": "th", "Ł": "L", "ł": "l", "ı": "i"}
+BEYOND = "ŐőŰűŞşĞğİ"
 SCRIPTS = {"Latin": r"\p{IsLatin}0-9", "Greek": r"\p{IsGreek}", "Cyrillic": r"\p{IsCyrillic}", "Hebrew": r"\p{IsHebrew}", "Arabic": r"\p{IsArabic}", "Han": r"\p{IsHan}", "Hiragana": r"\p{IsHiragana}", "Katakana": r"\p{IsKatakana}", "Hangul": r"\p{IsHangul}", "Thai": r"\p{IsThai}", "Devanagari": r"\p{IsDevanagari}"}
 
 
@@ -255,11 +256,13 @@ def normalized(form: str):
     return f
 
 
-@F.pandas_udf(T.StringType())
-def transliterated(x: pd.Series) -> pd.Series:
-    """Letters without their marks; what has no plain form stays."""
-    table = str.maketrans(LETTERS)
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.translate(table)) if not unicodedata.combining(c)))
+def transliterated(x: Column) -> Column:
+    """Letters of Latin-1 and a few more without their marks, umlauts as two letters; all else stays."""
+    marked = [c for c in [*map(chr, range(0xC0, 0x100)), *BEYOND] if c not in LETTERS and c.isalpha()]
+    plain = F.translate(x, "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked))
+    for c, to in LETTERS.items():
+        plain = F.replace(plain, F.lit(c), F.lit(to))
+    return plain
 
 
 def case_fold(x: Column) -> Column:

@@ -45,9 +45,14 @@ def _from_fields(name: str, fields: Column, line: Column) -> Column:
     return _record(name, severity_of(_picked(fields, LEVEL_KEYS)), _picked(fields, TIME_KEYS), F.coalesce(_picked(fields, MESSAGE_KEYS), F.lit("")), rest)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once, inside one expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_json(line: Column) -> Column:
     fields = F.transform_keys(F.from_json(line, FIELDS), lambda k, _: F.lower(k))
-    return F.when(line.rlike(r"^\s*\{") & F.from_json(line, FIELDS).isNotNull(), _from_fields("json", fields, line))
+    return F.when(line.rlike(r"^\s*\{"), _bound(fields, lambda f: F.when(f.isNotNull(), _from_fields("json", f, line))))
 
 
 def parse_pairs(line: Column) -> Column:
@@ -55,7 +60,7 @@ def parse_pairs(line: Column) -> Column:
     keys = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.lower)
     values = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, '^"|"$', ""))
     entries = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(values, F.array_position(keys, k).cast("int")).alias("value")))
-    return F.when(F.size(keys) > 0, _from_fields("key=value", F.map_from_entries(entries), line))
+    return F.when(line.rlike(pattern), _bound(F.map_from_entries(entries), lambda f: _from_fields("key=value", f, line)))
 
 
 def parse_syslog(line: Column) -> Column:
@@ -81,7 +86,9 @@ def parse(line: Column) -> Column:
 
 def parse_all(lines: DataFrame, column: str = "content") -> DataFrame:
     """lines that aren't blank, with their record (null where no format fits)."""
-    return lines.filter(F.trim(column) != "").withColumn("record", parse(F.col(column)))
+    # a generator, across which no expression is copied into each use
+    held = lines.select(*[c for c in lines.columns if c != column], F.explode(F.array(column)).alias(column)).filter(F.trim(column) != "").select(*lines.columns)
+    return held.select("*", F.explode(F.array(parse(F.col(column)))).alias("record"))
 
 
 def filtered(records: DataFrame, *, least: str | None = None, contains: str | None = None, has_field: str | None = None, field_equals: tuple[str, str] | None = None) -> DataFrame:

@@ -15,13 +15,13 @@ from ..sources.lines import EMPTY_FIELDS
 #: What redaction detects.
 DETECTORS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"(?:\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "card": r"\b(?:[0-9]{4}[- ]?){3}[0-9]{4}\b",
-    "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "url": r"https?://[^\s<>\"]+",
-    "hex_secret": r"\b[0-9a-f]{32,64}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "card": r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2})[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",
+    "phone": r"(?:\+1[\s-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "api_key": r"(?i)(?:api[_-]?key|apikey|token|secret|password)\s*[:=]\s*[\"']?([A-Za-z0-9_\-]{16,})[\"']?",
+    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "private_key": r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+)?PRIVATE KEY-----",
 }
 
 

@@ -25,15 +25,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def fnv1a(data: bytes, seed: int = 0) -> int:
-    h = BASIS ^ seed
-    for byte in data:
-        h = (h ^ byte) * PRIME & MASK
-    return h
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def fnv1a(items: list[bytes], seeds: tuple[int, ...] = (0,)) -> np.ndarray:
+    """Hashes of all items, a row for each seed: byte after byte, of all items that are that long at once."""
+    sizes = np.array([len(x) for x in items], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    data = np.frombuffer(b"".join(items), np.uint8)
+    begins = (np.cumsum(sizes) - sizes)[order]
+    left = np.append(np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right"), 0)
+    h = np.repeat((np.array(seeds, np.uint64) ^ np.uint64(BASIS))[:, None], len(items), axis=1)
+    for i, n in enumerate(left[:-1].tolist()):
+        h[:, :n] = (h[:, :n] ^ data[begins[:n] + i]) * np.uint64(PRIME)
+    out = np.empty_like(h)
+    out[:, order] = h
+    return out
+
+
+def shingled(df: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
+    """df with the shingles of a text, made before any Python worker sees them."""
+    return df.select("*", F.explode(F.array(shingles(F.col(text_col), n))).alias(name))
 
 
 @F.pandas_udf(T.LongType())
@@ -42,7 +51,7 @@ def simhash(parts: pd.Series) -> pd.Series:
     def one(items) -> int:
         if items is None or not len(items):
             return 0
-        bits = np.unpackbits(np.array([fnv1a(s.encode()) for s in items], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(fnv1a([s.encode() for s in items])[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(bits)
         return int(np.packbits((votes > 0).astype(np.uint8), bitorder="little").view("<i8")[0])
 
@@ -53,15 +62,11 @@ def minhash(count: int = 100):
     """A function of an array of shingles: the least hash by each of count seeds, as signed numbers (unsigned order)."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(parts: pd.Series) -> pd.Series:
-        seeds = np.arange(count, dtype=np.uint64) ^ np.uint64(BASIS)
-
         def one(items):
             least = np.full(count, MASK, np.uint64)
-            for s in set(items if items is not None else ()):
-                h = seeds.copy()
-                for byte in s.encode():
-                    h = (h ^ np.uint64(byte)) * np.uint64(PRIME)
-                least = np.minimum(least, h)
+            different = [s.encode() for s in set(items if items is not None else ())]
+            for at in range(0, len(different), 4096):
+                least = np.minimum(least, fnv1a(different[at : at + 4096], tuple(range(count))).min(axis=1))
             return least.view(np.int64)
 
         return parts.map(one)

@@ -81,6 +81,8 @@ def ngrams(df: DataFrame, text_col: str, n: int, top: int | None = None) -> Data
     """ngram, n: windows of lower-cased words inside a text."""
     cut = df.select(F.explode(F.array(words(F.lower(text_col)))).alias("w")).filter(F.size("w") >= n)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    if n == 2:  # each word beside its successor, without a slice for each
+        grams = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     counts = cut.select(F.explode_outer(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
     return counts.orderBy(F.col("n").desc(), "ngram").limit(top) if top else counts
 

@@ -349,10 +349,13 @@ def _(spark, d):
     return text.tf_idf_search(read(spark, d, "documents"), "doc_id", "text", "the license token", 10).withColumn("score", F.round("score", 6))
 
 
-@add("detections", r"SELECT 'email' AS detector, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS texts FROM documents UNION ALL SELECT 'aws_key', count(*) FILTER (regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')) FROM documents UNION ALL SELECT 'url', count(*) FILTER (regexp_matches(text, 'https?://[^\s<>""]+')) FROM documents")
+#: The detectors as DuckDB's regular expressions take them in SQL strings.
+_DETECTED = " UNION ALL ".join(f"SELECT '{k}' AS detector, count(*) FILTER (regexp_matches(text, {q})) AS texts, CAST(coalesce(sum(len(regexp_extract_all(text, {q}))), 0) AS BIGINT) AS matches FROM documents" for k, p in rules.DETECTORS.items() for q in ["'" + p.replace("'", "''") + "'"])
+
+
+@add("detections", _DETECTED)
 def _(spark, d):
-    chosen = {k: rules.DETECTORS[k] for k in ("email", "aws_key", "url")}
-    return rules.detections(read(spark, d, "documents"), "text", chosen).select("detector", "texts")
+    return rules.detections(read(spark, d, "documents"), "text")
 
 
 @add("redacted", r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS text_sha256 FROM documents")
@@ -442,12 +445,12 @@ def _(spark, d):
 
 @add("simhash")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", similarity.simhash(similarity.shingles(F.col("text"), 3)).alias("fingerprint"))
+    return read(spark, d, "documents").select("doc_id", "text").transform(similarity.shingled, "text", 3, "parts").select("doc_id", similarity.simhash("parts").alias("fingerprint"))
 
 
 @add("minhash")
 def _(spark, d):
-    return read(spark, d, "benchmark").select("item_id", similarity.minhash(32)(similarity.shingles(F.col("text"), 3)).alias("signature"))
+    return read(spark, d, "documents").select("doc_id", "text").transform(similarity.shingled, "text", 3, "parts").select("doc_id", similarity.minhash(32)("parts").alias("signature"))
 
 
 @add("fuzzy_search")
