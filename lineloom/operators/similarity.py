@@ -25,7 +25,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def fnv1a(items: list[bytes], seeds: tuple[int, ...] = (0,)) -> np.ndarray:
+def fnv1a(data: bytes, seed: int = 0) -> int:
+    return int(fnv1a_all([data], (seed,))[0, 0])
+
+
+def fnv1a_all(items: list[bytes], seeds: tuple[int, ...] = (0,)) -> np.ndarray:
     """Hashes of all items, a row for each seed: byte after byte, of all items that are that long at once."""
     sizes = np.array([len(x) for x in items], np.int64)
     order = np.argsort(-sizes, kind="stable")
@@ -51,7 +55,7 @@ def simhash(parts: pd.Series) -> pd.Series:
     def one(items) -> int:
         if items is None or not len(items):
             return 0
-        bits = np.unpackbits(fnv1a([s.encode() for s in items])[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(fnv1a_all([s.encode() for s in items])[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(bits)
         return int(np.packbits((votes > 0).astype(np.uint8), bitorder="little").view("<i8")[0])
 
@@ -66,7 +70,7 @@ def minhash(count: int = 100):
             least = np.full(count, MASK, np.uint64)
             different = [s.encode() for s in set(items if items is not None else ())]
             for at in range(0, len(different), 4096):
-                least = np.minimum(least, fnv1a(different[at : at + 4096], tuple(range(count))).min(axis=1))
+                least = np.minimum(least, fnv1a_all(different[at : at + 4096], tuple(range(count))).min(axis=1))
             return least.view(np.int64)
 
         return parts.map(one)
