@@ -9,7 +9,7 @@ than that (turns that share a number) is dealt on into parts by the turns' hash,
 Defined results: rows equal in dialogue, turn, role and text are one turn; turns that share a number are ordered by
 their hash; a null text is empty, a null role is "unknown", a null turn comes first, null dialogues form one
 dialogue; a dialogue of system turns only has no rendering; other columns play no part. The markers of the format
-are escaped where texts hold them.
+are escaped where texts or roles hold them.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     rows = rows.select("conv", "segment", part.alias("part"), "turn", "h", "role", "said")
     cast = rows.filter("role <> 'system'").select(F.col("conv").alias("c"), F.col("role").alias("perspective")).distinct()
     seen = rows.join(cast, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
-    header = F.when(F.col("role") == "system", F.lit("<|system|>")).when(F.col("role") == F.col("perspective"), F.lit("<|assistant|>")).otherwise(F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>")))
+    name = F.replace(F.replace(F.col("role"), F.lit(OPEN), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+    header = F.when(F.col("role") == "system", F.lit("<|system|>")).when(F.col("role") == F.col("perspective"), F.lit("<|assistant|>")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>")))
     shown = seen.select("conv", "perspective", "segment", "part", "turn", "h", F.concat(header, "said", F.lit(END)).alias("line"), F.length(header).alias("skip"), (F.col("role") == F.col("perspective")).alias("own"))
     lines = F.array_sort(F.collect_list(F.struct("turn", "h", "line", "skip", "own")))
     grouped = shown.groupBy("conv", "perspective", "segment", "part").agg(lines.alias("lines"))
@@ -50,8 +51,10 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
 ORACLE_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\\|') AS said, turn // 64 AS segment FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-l AS (SELECT *, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || said || '<|end|>' || chr(10) AS line FROM t JOIN p USING (conv_id))
-SELECT conv_id, perspective, segment, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn)) AS text_sha256,
+r AS (SELECT *, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || said || '<|end|>' || chr(10) AS line FROM (SELECT t.*, replace(replace(t.role, '<|', '<\\|'), '|>', '|\\>') AS name FROM t) JOIN p USING (conv_id)),
+l AS (SELECT *, CAST(sum(length(line)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn) AS BIGINT) AS stop FROM r)
+SELECT conv_id, perspective, segment, CAST(-1 AS BIGINT) AS part_turn, CAST(0 AS BIGINT) AS part_bucket, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn)) AS text_sha256,
+       sha256(coalesce(string_agg((stop - length(line) + 13) || '-' || (stop - 8), ',' ORDER BY turn) FILTER (WHERE role = perspective), '')) AS mask_sha256,
        CAST(sum(CASE WHEN role = perspective THEN 1 ELSE 0 END) AS BIGINT) AS n_masks, CAST(sum(CASE WHEN role = perspective THEN length(said) ELSE 0 END) AS BIGINT) AS masked_chars
 FROM l GROUP BY conv_id, perspective, segment
 """

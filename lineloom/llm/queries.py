@@ -76,7 +76,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = chat.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["stop"] - m["start"])
-    return shown.select(F.col("conv").alias("conv_id"), "perspective", "segment", "n_turns", F.sha2("text", 256).alias("text_sha256"), F.size("mask").cast("long").alias("n_masks"), masked.alias("masked_chars"))
+    return shown.select(F.col("conv").alias("conv_id"), "perspective", "segment", F.coalesce("part.turn", F.lit(-1).cast("long")).alias("part_turn"), F.col("part.bucket").alias("part_bucket"), "n_turns", F.sha2("text", 256).alias("text_sha256"), F.sha2(F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"])), ","), 256).alias("mask_sha256"), F.size("mask").cast("long").alias("n_masks"), masked.alias("masked_chars"))
 
 
 def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
