@@ -76,6 +76,11 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to every executor if it is known to have no more rows than that; otherwise a join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fits_broadcast(df: DataFrame, column: str, limit_bytes: int) -> bool:
     """Whether the texts of a side input are small enough, by their measured size, to be sent to every executor."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0]

@@ -36,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, row_key
+from .common import discard, free_name, materialize, row_key, sent_if_small
 from .shingles import mix, shingle_sets
 
 MAX_ROUNDS = 2
 #: How often classes that share too few pieces go before any are compared.
 SIEVES = 1
+#: Ids of so many texts or fewer are sent to every executor (some 50 bytes each), so that texts need no shuffle; with more of them texts are shuffled once.
+BROADCAST_ROWS = 500_000
 #: Rows of a group that are compared with each other in one go.
 CHUNK_ROWS = 256
 #: Words of the least sketch.
@@ -414,7 +416,7 @@ def classified(docs: DataFrame, width: int, num: int, den: int, id_col: str, tex
         for h in held:
             needed = needed.join(h.select("cid"), "cid", "left_anti")
         needed = materialize(needed.join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc").alias("d"), F.col("rep.row_key").alias("k")), "jaccard-needed")
-        chosen = texts.join(needed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("cid", "t")
+        chosen = texts.join(sent_if_small(needed, BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("cid", "t")
         held.append(materialize(chosen.dropDuplicates(["cid"]) if repeated else chosen, "jaccard-texts"))
         return reduce(DataFrame.unionByName, held)
 
@@ -472,8 +474,9 @@ def deduplicate(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10,
     key = free_name(docs, "row_key_")
     keyed = docs.withColumn(key, row_key(F.col(text_col)))
     same = lambda rows: keyed[id_col].eqNullSafe(rows["doc"]) & (keyed[key] == rows["row_key"])
+    out = gone if several is None else materialize(gone.unionByName(several), "jaccard-gone")
+    once = keyed.join(sent_if_small(out, BROADCAST_ROWS), same(out), "left_anti")
     if several is None:
-        return keyed.join(gone, same(gone), "left_anti").select(*docs.columns)
-    once = keyed.join(gone.unionByName(several), same(gone), "left_anti")
+        return once.select(*docs.columns)
     again = several.join(gone, several["doc"].eqNullSafe(gone["doc"]) & (several["row_key"] == gone["row_key"]), "left_anti")
     return once.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates([id_col, key])).select(*docs.columns)
