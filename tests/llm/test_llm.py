@@ -395,3 +395,38 @@ def test_rotation(spark):
     assert {r.conv for r in got} == {1, 2, 4, None}
     four = [r for r in got if r.conv == 4 and r.perspective == "bob"]
     assert sum(r.n_turns for r in four) == 301 and max(r.n_turns for r in four) < 150
+
+
+# forms of names, sketches, merges ---------------------------------------------------------------------------------
+
+
+def test_forms_of_names(spark):
+    rows = [(1, "Priya Sharma met Ahmed Khan; Mary-Ann Smith left. JOHN SMITH came, DR. SMITH too."), (2, "Maria Lopez is here. Later Lopez left. LOPEZ!"), (3, "fe80:1:2::1 at 12:30:45, 10.0.0.1"), (4, "James James and Mr James")]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(docs_of(spark, rows), "k").collect()}
+    assert not re.search("(?i)priya|sharma|ahmed|khan|mary|smith|john", got[1])
+    assert re.fullmatch(r"\w+ (\w+) is here\. Later \1 left\. (\w+)!", got[2]) and got[2].split()[1].upper() in got[2]
+    assert " at 12:30:45, " in got[3] and "fe80" not in got[3] and "10.0.0.1" not in got[3]
+    given, surname, _, _, again = got[4].split()
+    assert surname == again and given != surname
+
+
+def test_sketch_distances_are_bounds():
+    base = np.random.default_rng(1).integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.unique(base[:n]) for n in (1, 10, 255, 256, 257, 300, 1024, 1025, 2100, 3000)]
+    sketches = jaccard.parity_sketches(sets)
+    words = np.array([len(s) for s in sketches])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = jaccard.sketch_distances(np.concatenate(sketches), np.cumsum(words) - words, words, a, b)
+    assert all(d <= abs(len(sets[x]) - len(sets[y])) for x, y, d in zip(a, b, apart, strict=True))
+
+
+def test_merges_equal_the_library():
+    import tiktoken
+
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(3)
+    for _ in range(60):
+        texts = ["".join(r.choice("abcXYZ 's'll \n\t\x00 12 é漢🙂Α.,-_") for _ in range(r.choice([0, 1, 9, 60, 500]))) for _ in range(5)] + ["a" * r.randint(7, 40), "\0" * r.randint(1, 20)]
+        ids, first, _ = c.encode(texts)
+        assert [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:], strict=True)] == [library.encode_ordinary(t) for t in texts]
