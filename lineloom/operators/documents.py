@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .similarity import jaccard
 from .text import words
 
 STRING = T.StringType()
@@ -96,12 +95,11 @@ def summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str =
 
 
 def sentence_graph(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, a, b, weight: sentences of a text that share words, by Jaccard; they meet on a shared word."""
-    s = sentences_of(df, id_col, text_col).withColumn("w", F.array_distinct(words(F.lower("sentence"))))
-    one = s.select("id", F.col("at").alias("a"), F.col("w").alias("wa"), F.explode("w").alias("word"))
-    two = s.select("id", F.col("at").alias("b"), F.col("w").alias("wb"), F.explode("w").alias("word"))
-    met = one.join(two, ["id", "word"]).filter("a < b").dropDuplicates(["id", "a", "b"])
-    return met.select("id", "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("weight"))
+    """id, a, b, weight: sentences of a text that share words, by Jaccard; they meet on each shared word, which are counted."""
+    s = sentences_of(df, id_col, text_col).select("id", "at", F.array_distinct(words(F.lower("sentence"))).alias("w")).select("id", "at", F.size("w").alias("n"), F.explode("w").alias("word"))
+    met = s.toDF("id", "a", "na", "word").join(s.toDF("id", "b", "nb", "word"), ["id", "word"]).filter("a < b")
+    both = met.groupBy("id", "a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return both.select("id", "a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("weight"))
 
 
 def commit(message: Column) -> Column:

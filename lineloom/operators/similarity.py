@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import checkpointed
+
 #: FNV-1a.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
 MASK = (1 << 64) - 1
@@ -78,6 +83,99 @@ def minhash(count: int = 100):
     return signature
 
 
+def shared_shingles(df: DataFrame, id_col: str, items: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
+    """id, item, jaccard: every text against every item that shares a shingle with it. Shared shingles are counted, not sets compared."""
+    def sets(d: DataFrame, key: str, name: str) -> DataFrame:
+        made = d.select(F.col(key), F.explode(F.array(F.array_distinct(shingles(F.col(text_col), n)))).alias("_s"))
+        return made.select(F.col(key), F.size("_s").alias(name), F.explode("_s").alias("_x"))
+
+    met = sets(df, id_col, "_na").join(sets(items, item_col, "_nb"), "_x").groupBy(id_col, item_col, "_na", "_nb").agg(F.count("*").alias("_c"))
+    return met.select(id_col, item_col, (F.col("_c") / (F.col("_na") + F.col("_nb") - F.col("_c"))).alias("jaccard"))
+
+
+def similar_signatures(df: DataFrame, id_col: str, signature: str, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal signatures (class, id), and pairs of classes (a < b) that agree in threshold of count positions or more.
+
+    Signatures that may disagree in d positions agree in one of d + 1 bands as a whole, so no pair is missed. A class is
+    named after its smallest id and takes part once, however many rows it has.
+    """
+    known = df.select(F.col(id_col).alias("id"), F.col(signature).alias("s")).filter("id is not null and s is not null")
+    classes = checkpointed(known.groupBy("s").agg(F.min("id").alias("class")))
+    members = known.join(classes, "s").select("class", "id")
+    bands = min(count - math.ceil(threshold * count - 1e-9) + 1, count)
+    edges = [count * i // bands for i in range(bands + 1)]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("s", a + 1, b - a)).alias("h")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    keyed = classes.select("class", "s", F.explode(keys).alias("k"))
+    met = keyed.toDF("a", "sa", "k").join(keyed.toDF("b", "sb", "k"), "k").filter((F.col("a") < F.col("b")) & (minhash_similarity(F.col("sa"), F.col("sb")) >= threshold - 1e-9))
+    return members, met.select("a", "b").distinct()
+
+
+def find_duplicates(df: DataFrame, id_col: str, signature: str, count: int, threshold: float) -> DataFrame:
+    """leader, id: in order of ids, a row that no leader has taken becomes one and takes all later rows like it.
+
+    Groups have two rows or more. Rows without id or signature take no part. In each round a class whose smaller
+    neighbours are all taken leads, and neighbours of leaders are taken by the smallest; a leader's members aren't compared
+    with each other.
+    """
+    members, pairs = similar_signatures(df, id_col, signature, count, threshold)
+    pairs = checkpointed(pairs)
+    left = checkpointed(members.select(F.col("class").alias("c")).distinct())
+    found, open_ = [], pairs
+    while not left.isEmpty():
+        leaders = checkpointed(left.join(open_.select(F.col("b").alias("c")).distinct(), "c", "left_anti"))
+        taken = checkpointed(pairs.join(leaders, pairs["a"] == leaders["c"]).join(left.toDF("b"), "b").groupBy("b").agg(F.min("a").alias("leader")))
+        found += [leaders.select("c", F.col("c").alias("leader")), taken.select(F.col("b").alias("c"), "leader")]
+        gone = taken.select(F.col("b").alias("c")).union(leaders)
+        left = checkpointed(left.join(gone, "c", "left_anti"))
+        open_ = checkpointed(open_.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti"))
+    if not found:
+        return members.select(F.col("class").alias("leader"), "id").limit(0)
+    led = members.join(reduce(DataFrame.union, found).withColumnRenamed("c", "class"), "class").select("leader", "id")
+    several = led.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").select("leader")
+    return led.join(several, "leader")
+
+
+#: The base and the modulus of rolling hashes.
+BASE, MODULUS = 257, (1 << 61) - 1
+
+
+def rolling_hashes(items: list[bytes], size: int) -> list[np.ndarray]:
+    """Hashes of all windows of size bytes, of all items side by side; products wrap at 64 bits before the modulus."""
+    p, base = np.uint64(MODULUS), np.uint64(BASE)
+    top = 1
+    for _ in range(size - 1):
+        top = (top * BASE & MASK) % MODULUS
+    order = sorted((i for i in range(len(items)) if len(items[i]) >= size > 0), key=lambda i: -len(items[i]))
+    out = [np.empty(0, np.uint64)] * len(items)
+    if not order:
+        return out
+    sizes = np.array([len(items[i]) for i in order])
+    begins = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(items[i] for i in order), np.uint8).astype(np.uint64)
+    hashes = np.empty(len(data), np.uint64)
+    h = np.zeros(len(order), np.uint64)
+    for k in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -k, "left"))  # items longer than k
+        at, now = begins[:n] + k, h[:n]
+        if k >= size:
+            now = (now + p - data[at - size] * np.uint64(top) % p) % p
+        h[:n] = (now * base + data[at]) % p
+        hashes[at] = h[:n]
+    for i, b, n in zip(order, begins, sizes, strict=True):
+        out[i] = hashes[b + size - 1 : b + n]
+    return out
+
+
+def chunk_boundaries(size: int, mask: int):
+    """A function of texts: byte offsets behind windows whose hash has no bit of mask."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def found(text: pd.Series) -> pd.Series:
+        data = [(t or "").encode() for t in text]
+        return pd.Series([np.flatnonzero((h & np.uint64(mask)) == 0) + size for h in rolling_hashes(data, size)])
+
+    return found
+
+
 def minhash_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 CELL = 4096
 
 
@@ -47,10 +49,14 @@ reservoir = random_sample
 
 
 def systematic(df: DataFrame, step: int, seed: int, key: str) -> DataFrame:
-    """Every step-th row in order of key, from a seeded start. Rows are numbered in ranges of key, not in one task."""
-    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    """Every step-th row in order of key, from a seeded start. Rows are numbered in ranges of key, not in one task.
+
+    Rows and the number of their range are written once, so that a repeated task deals no row elsewhere.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = checkpointed(df.repartitionByRange(ranges, key).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))  # a row for each partition
+    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))  # a row for each range
     numbered = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(before), "_p")
     return numbered.filter((F.col("_b") + F.col("_r") - 1 - seed % step) % step == 0).select(*df.columns)
 

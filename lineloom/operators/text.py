@@ -107,25 +107,38 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop_words)) if stop_words else found
 
 
+def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """id, term, c. Whoever asks for c > 0 instead of counting rows reads the same exchange as the others."""
+    return df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col), stop_words)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+
+
+def rarity(counts: DataFrame) -> DataFrame:
+    """term, idf of counted terms, and n, the number of texts that have any."""
+    used = F.col("c") > 0
+    n = F.broadcast(counts.groupBy("id").agg(F.max("c").alias("c")).agg(F.count_if(used).alias("n")))  # one row
+    return counts.groupBy("term").agg(F.count_if(used).alias("df")).join(n).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"), "n")
+
+
 def tf_idf(df: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
     """id, term, tf (by the most frequent term), idf, weight. Texts without tokens don't count."""
-    counts = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col), stop_words)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    counts = term_counts(df, id_col, text_col, stop_words)
     most = counts.groupBy("id").agg(F.max("c").alias("most"))
-    n = F.broadcast(most.agg(F.count("*").alias("n")))  # one row
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).join(n).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
     tf = counts.join(most, "id").select("id", "term", (F.col("c") / F.col("most")).alias("tf"))
-    return tf.join(idf, "term").select("id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
+    return tf.join(rarity(counts).drop("n"), "term").select("id", "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def tf_idf_search(df: DataFrame, id_col: str, text_col: str, query: str, top: int, stop_words: list[str] | None = None) -> DataFrame:
-    """id, score: cosine of texts with a query, best first, ties by id. Only terms of the query are joined."""
-    weights = tf_idf(df, id_col, text_col, stop_words)
-    asked = df.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"), stop_words)).alias("term")).groupBy("term").agg(F.count("*").alias("c"))
-    best = asked.agg(F.max("c").alias("most"))
-    known = weights.select("term", "idf").groupBy("term").agg(F.max("idf").alias("idf"))
-    n = weights.select("id").distinct().agg(F.count("*").alias("n"))
-    vector = asked.join(F.broadcast(best)).join(F.broadcast(n)).join(known, "term", "left").select("term", (F.col("c") / F.col("most") * F.coalesce("idf", F.log("n") + 1)).alias("q"))
+    """id, score: cosine of texts with a query, best first, ties by id.
+
+    The count of a text's most frequent term cancels out of the cosine, so norm and product come from one pass over
+    the counts. A query's term that no text has counts in the query's norm as if one text had it.
+    """
+    counts = term_counts(df, id_col, text_col, stop_words)
+    idf = rarity(counts)
+    asked = df.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"), stop_words)).alias("term")).groupBy("term").agg(F.count("*").alias("qc"))
+    n = F.broadcast(counts.groupBy("id").agg(F.max("c").alias("c")).agg(F.count_if(F.col("c") > 0).alias("all")))  # one row
+    vector = F.broadcast(asked.join(n).join(idf.join(F.broadcast(asked.select("term")), "term", "left_semi"), "term", "left").select("term", (F.col("qc") * F.coalesce("idf", F.log("all") + 1)).alias("q")))  # the query's terms
     size = F.broadcast(vector.agg(F.sqrt(F.sum(F.col("q") ** 2)).alias("q_norm")))  # one row
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    dots = weights.join(F.broadcast(vector), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))  # the query's terms
-    return dots.join(norms, "id").join(size).select("id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")).filter("score > 0").orderBy(F.col("score").desc(), "id").limit(top)
+    weight = F.col("c") * F.col("idf")
+    scored = counts.join(idf.drop("n"), "term").join(vector, "term", "left").groupBy("id").agg(F.sum(weight * F.col("q")).alias("dot"), F.sqrt(F.sum(weight**2)).alias("norm"))
+    return scored.filter("dot > 0").join(size).select("id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")).orderBy(F.col("score").desc(), "id").limit(top)

@@ -63,15 +63,33 @@ def sparkline(bucketed: DataFrame) -> DataFrame:
     return bucketed.agg(counts.alias("c")).select(F.array_join(F.transform("c", glyph(F.greatest(F.array_max("c"), F.lit(1)))), "").alias("line"))
 
 
+SPAN = 3600
+
+
+def durations(events: DataFrame, ts: str, key: str | None) -> DataFrame:
+    """d, n: the time between one event and the next (of a key), and how often.
+
+    Events of a moment are counted first. What is ordered in one task is the moments of an hour; hours meet in a table
+    with a row for each.
+    """
+    by = [F.col(key).alias("k")] if key else [F.lit(0).alias("k")]
+    moments = events.filter(F.col(ts).isNotNull()).groupBy(*by, F.col(ts).alias("t")).agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.col("t") / SPAN))
+    within = moments.select("n", (F.col("t") - F.lag("t").over(Window.partitionBy("k", "hour").orderBy("t"))).alias("d"))
+    hours = moments.groupBy("k", "hour").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    between = hours.select((F.col("lo") - F.lag("hi").over(Window.partitionBy("k").orderBy("hour"))).alias("d"), F.lit(1).cast("long").alias("n"))
+    steps = within.select("d", F.lit(1).cast("long").alias("n")).unionByName(between).filter("d is not null")
+    same = moments.filter("n > 1").select((F.col("t") - F.col("t")).alias("d"), (F.col("n") - 1).alias("n"))
+    return steps.unionByName(same).select(F.col("d").cast("double").alias("d"), "n").groupBy("d").agg(F.sum("n").alias("n"))
+
+
 def duration_histogram(events: DataFrame, bins: int, ts: str = "ts", key: str | None = None) -> DataFrame:
     """bin, low, high, n: the time between one event and the next (of a key), in bins of equal width; the last one is closed."""
-    by = Window.partitionBy(key).orderBy(ts) if key else Window.orderBy(ts)
-    deltas = events.select((F.col(ts) - F.lag(ts).over(by)).cast("double").alias("d")).filter("d is not null")
+    deltas = durations(events, ts, key)
     range_ = F.broadcast(deltas.agg(F.min("d").alias("lo"), F.max("d").alias("hi")))  # one row
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
     at = F.least(F.floor((F.col("d") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    placed = deltas.join(range_).select(at.alias("bin"), (F.col("lo") + at * width).alias("low"), (F.col("lo") + (at + 1) * width).alias("high"))
-    return placed.groupBy("bin").agg(F.min("low").alias("low"), F.min("high").alias("high"), F.count("*").alias("n"))
+    placed = deltas.join(range_).select("n", at.alias("bin"), (F.col("lo") + at * width).alias("low"), (F.col("lo") + (at + 1) * width).alias("high"))
+    return placed.groupBy("bin").agg(F.min("low").alias("low"), F.min("high").alias("high"), F.sum("n").alias("n"))
 
 
 def cumulative_histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -305,9 +305,13 @@ def _(spark, d):
     return found.select("doc_id", F.col("chars").cast("long").alias("chars"), F.col("words").cast("long").alias("words"), F.col("unique_words").cast("long").alias("unique_words"), F.round("avg_word_bytes", 6).alias("avg_word_bytes"))
 
 
-@add("readability")
+_LOWER = r"{0}, p AS (SELECT d.doc_id, coalesce(d.text, '') AS t, len(w.w) AS n, coalesce(list_sum([strlen(x) FOR x IN w.w]), 0) AS b, coalesce(list_sum([CASE WHEN strlen(lower(x)) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - CASE WHEN lower(x) LIKE '%e' AND lower(x) NOT LIKE '%le' AND len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END FOR x IN w.w]), 0) AS y FROM documents d JOIN w ON d.doc_id = w.doc_id), q AS (SELECT *, CASE WHEN trim(t) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(t, '[.!?]+'))) END AS s FROM p)"
+
+
+@add("readability", f"WITH {_LOWER.format(_WORDS)}, r AS (SELECT *, CASE WHEN s > 0 THEN n / s ELSE 0 END AS ws, CASE WHEN n > 0 THEN y / n ELSE 0 END AS sw, CASE WHEN n > 0 THEN b / n ELSE 0 END AS bw FROM q) SELECT doc_id, s AS sentences, round(CASE WHEN n > 0 THEN 206.835 - 1.015 * ws - 84.6 * sw ELSE 0 END, 6) AS reading_ease, round(CASE WHEN n > 0 THEN 0.39 * ws + 11.8 * sw - 15.59 ELSE 0 END, 6) AS grade, round(CASE WHEN n > 0 THEN 4.71 * bw + 0.5 * ws - 21.43 ELSE 0 END, 6) AS ari FROM r")
 def _(spark, d):
-    return text.stats(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "sentences", "paragraphs", "reading_ease", "grade", "ari")
+    found = text.stats(read(spark, d, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("sentences").cast("long").alias("sentences"), *[F.round(c, 6).alias(c) for c in ("reading_ease", "grade", "ari")])
 
 
 @add("word_frequency", f"WITH {_ONE} SELECT word, count(*) AS n, round(count(*) / (SELECT count(*) FROM o), 8) AS share FROM o GROUP BY word ORDER BY n DESC, word LIMIT 50")
@@ -358,14 +362,19 @@ def _(spark, d):
     return rules.detections(read(spark, d, "documents"), "text")
 
 
-@add("redacted", r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS text_sha256 FROM documents")
+_HIDDEN = "text"
+for _k, _p in rules.DETECTORS.items():
+    _HIDDEN = f"regexp_replace({_HIDDEN}, '" + _p.replace("'", "''") + f"', '[{_k.upper()}]', 'g')"
+
+
+@add("redacted", f"SELECT doc_id, sha256({_HIDDEN}) AS text_sha256 FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.sha2(rules.redacted(F.col("text"), "full", {"email": rules.DETECTORS["email"]}), 256).alias("text_sha256"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(rules.redacted(F.col("text"), "full"), 256).alias("text_sha256"))
 
 
-@add("lint", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, 'long_line' AS rule FROM l WHERE strlen(c) > 2000 UNION ALL SELECT CAST(doc_id AS VARCHAR), n, 'trailing_whitespace' FROM l WHERE regexp_matches(c, '[ \t]+$')")
+@add("lint", f"WITH {LINES}, b AS (SELECT doc_id, n, sum(CASE WHEN trim(c) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM l), f AS (SELECT doc_id, n, 'long_line' AS rule FROM l WHERE strlen(c) > 120 UNION ALL SELECT doc_id, n, 'trailing_whitespace' FROM l WHERE regexp_matches(c, '[ \t]+$') UNION ALL SELECT doc_id, n, 'tab_indent' FROM l WHERE c LIKE chr(9) || '%' UNION ALL SELECT doc_id, n, 'todo_marker' FROM l WHERE regexp_matches(c, '\b(?:TODO|FIXME|XXX|HACK)\b') UNION ALL SELECT doc_id, n, 'consecutive_blanks' FROM b WHERE k = 3) SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, rule FROM f")
 def _(spark, d):
-    return rules.lint(document_lines(spark, d).rows(), long=2000).filter("rule in ('long_line', 'trailing_whitespace')")
+    return rules.lint(document_lines(spark, d).rows())
 
 
 @add("rewritten", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, CASE WHEN n BETWEEN 1 AND 2 THEN replace(replace(c, 'the', 'THE'), 'on', 'ON') ELSE replace(c, 'the', 'THE') END AS content FROM l")
@@ -398,9 +407,9 @@ def _(spark, d):
     return graph.pagerank(graph.both_ways(edges), iterations=10)
 
 
-@add("degree_centrality")
+@add("degree_centrality", f"WITH {_WORDS}, p AS (SELECT unnest([lower(x) FOR x IN w]) AS a, unnest(range(1, len(w) + 1)) AS i, doc_id FROM w), q AS (SELECT x.a AS a, y.a AS b FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i = x.i + 1 AND x.a <> y.a), g AS (SELECT a AS node, count(*) AS w FROM (SELECT a FROM q UNION ALL SELECT b FROM q) GROUP BY a) SELECT node, round(w / ((SELECT count(*) FROM g) - 1), 8) AS centrality FROM g")
 def _(spark, d):
-    return graph.degree_centrality(graph.cooccurrence(read(spark, d, "documents"), "text", 1))
+    return graph.degree_centrality(graph.cooccurrence(read(spark, d, "documents"), "text", 1)).withColumn("centrality", F.round("centrality", 8))
 
 
 @add("closure", "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
@@ -436,11 +445,10 @@ def _(spark, d):
 # fingerprints and fuzzy matching ------------------------------------------------------------------------------
 
 
-@add("shingle_jaccard", r"WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark), w AS (SELECT item_id, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS w FROM b), s AS (SELECT item_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS s FROM w) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM s a JOIN s b ON b.item_id = a.item_id + 1")
+@add("shingle_jaccard", r"WITH s AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents)), t AS (SELECT item_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS t FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM benchmark)), m AS (SELECT a.doc_id, b.item_id, count(*) AS c FROM (SELECT doc_id, unnest(s) AS x FROM s) a JOIN (SELECT item_id, unnest(t) AS x FROM t) b USING (x) GROUP BY ALL) SELECT m.doc_id, m.item_id, round(c / (len(s) + len(t) - c), 6) AS jaccard FROM m JOIN s ON s.doc_id = m.doc_id JOIN t ON t.item_id = m.item_id")
 def _(spark, d):
-    s = read(spark, d, "benchmark").select("item_id", similarity.shingles(F.col("text"), 2).alias("s"))
-    two = s.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("t"))
-    return s.join(two, "item_id").select(F.col("item_id").alias("a"), "b", F.round(similarity.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+    """Every document against every item that shares a shingle with it."""
+    return similarity.shared_shingles(read(spark, d, "documents"), "doc_id", read(spark, d, "benchmark"), "item_id", "text", 3).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @add("simhash")
@@ -453,6 +461,17 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").transform(similarity.shingled, "text", 3, "parts").select("doc_id", similarity.minhash(32)("parts").alias("signature"))
 
 
+@add("find_duplicates")
+def _(spark, d):
+    cut = read(spark, d, "documents").select("doc_id", "text").transform(similarity.shingled, "text", 3, "parts")
+    return similarity.find_duplicates(cut.select("doc_id", similarity.minhash(32)("parts").alias("signature")), "doc_id", "signature", 32, 0.8)
+
+
+@add("chunk_boundaries")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", similarity.chunk_boundaries(16, 0xFFF)("text").alias("boundaries"))
+
+
 @add("fuzzy_search")
 def _(spark, d):
     return similarity.fuzzy_search(read(spark, d, "customer"), "c_name", "costumer#000000042")
@@ -463,27 +482,22 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", similarity.bounded_levenshtein(F.col("p_name"), F.col("p_type"), 12).cast("long").alias("distance")).filter("distance is not null")
 
 
-@add("damerau_levenshtein", "SELECT n_nationkey, damerau_levenshtein(n_name, reverse(n_name)) AS distance FROM nation")
+@add("damerau_levenshtein", "SELECT p_partkey, damerau_levenshtein(p_name, p_type) AS distance FROM part")
 def _(spark, d):
-    return read(spark, d, "nation").select("n_nationkey", similarity.damerau_levenshtein(F.col("n_name"), F.reverse("n_name")).cast("long").alias("distance"))
+    return read(spark, d, "part").select("p_partkey", similarity.damerau_levenshtein(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"))
 
 
 @add("spell_suggestions")
 def _(spark, d):
-    said = read(spark, d, "documents").select(F.explode(text.words(F.lower("text"))).alias("word")).filter("length(word) between 4 and 7").groupBy("word").agg(F.count("*").alias("n"))
-    return similarity.suggestions(said.filter("n = 1").select("word"), said.filter("n >= 50").select("word"), most=1)
+    """Words of all documents against those that are seen 50 times or more."""
+    said = read(spark, d, "documents").select(F.explode(text.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return similarity.suggestions(said.select("word"), said.filter("n >= 50").select("word"))
 
 
 # scalar functions ---------------------------------------------------------------------------------------------
 
 
-@add("codecs", "SELECT doc_id, to_base64(encode(left(text, 60))) AS b64, lower(hex(encode(left(text, 60)))) AS hexed, url_encode(left(text, 60)) AS url FROM documents")
-def _(spark, d):
-    t = F.left("text", F.lit(60))
-    return read(spark, d, "documents").select("doc_id", scalar.base64_encode(t).alias("b64"), scalar.hex_encode(t).alias("hexed"), scalar.url_encode(t).alias("url"))
-
-
-@add("codecs_whole", "SELECT doc_id, sha256(to_base64(encode(text))) AS b64_sha256, sha256(lower(hex(encode(text)))) AS hexed_sha256, sha256(url_encode(text)) AS url_sha256 FROM documents")
+@add("codecs", "SELECT doc_id, sha256(to_base64(encode(text))) AS b64_sha256, sha256(lower(hex(encode(text)))) AS hexed_sha256, sha256(url_encode(text)) AS url_sha256 FROM documents")
 def _(spark, d):
     encoded = {"b64": scalar.base64_encode, "hexed": scalar.hex_encode, "url": scalar.url_encode}
     return read(spark, d, "documents").select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(f"{n}_sha256") for n, f in encoded.items()])
@@ -539,9 +553,9 @@ def _(spark, d):
     return only_content(colon.run(document_lines(spark, d), colon.parse("awk:1 | uniq:1 | count")))
 
 
-@add("summary_lead")
+@add("summary_lead", f"WITH s AS (SELECT doc_id AS id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p FROM documents) SELECT id, sha256(array_to_string(p[1:2], ' ')) AS summary_sha256 FROM s WHERE len(p) > 0")
 def _(spark, d):
-    return documents.summary(read(spark, d, "documents"), "doc_id", "text", 2, "lead")
+    return documents.summary(read(spark, d, "documents"), "doc_id", "text", 2, "lead").select("id", F.sha2("summary", 256).alias("summary_sha256"))
 
 
 @add("summary_tf_idf")
@@ -549,14 +563,16 @@ def _(spark, d):
     return documents.summary(read(spark, d, "documents"), "doc_id", "text", 2)
 
 
-@add("sentence_graph")
+@add("sentence_graph", f"WITH s AS (SELECT item_id AS id, unnest(range(0, len(p))) AS pos, unnest(p) AS t FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p FROM benchmark)), w AS (SELECT id, pos, list_distinct(list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}''\\-]+'), lambda x: x <> '')) AS w FROM s) SELECT a.id, a.pos AS a, b.pos AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS weight FROM w a JOIN w b ON a.id = b.id AND a.pos < b.pos WHERE len(list_intersect(a.w, b.w)) > 0")
 def _(spark, d):
-    return documents.sentence_graph(read(spark, d, "benchmark"), "item_id", "text")
+    found = documents.sentence_graph(read(spark, d, "benchmark"), "item_id", "text")
+    return found.select("id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("weight", 6).alias("weight"))
 
 
-@add("formats", "SELECT 'text' AS format, count(*) AS n FROM region WHERE r_name IS NOT NULL")
+@add("formats")
 def _(spark, d):
-    return read(spark, d, "region").groupBy(documents.format_of(F.col("r_name")).alias("format")).agg(F.count("*").alias("n"))
+    kinds = read(spark, d, "documents").select(documents.format_of(F.col("text")).alias("format")).unionByName(read(spark, d, "pages").select(documents.format_of(F.col("html")).alias("format")))
+    return kinds.groupBy("format").agg(F.count("*").alias("n"))
 
 
 # samples ------------------------------------------------------------------------------------------------------

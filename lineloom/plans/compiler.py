@@ -195,8 +195,10 @@ def on_aggregate(lines: Lines, a: dict) -> Lines:
         "avg": lambda: shown(F.coalesce(F.avg(v), F.lit(0.0))),
         "min": lambda: shown(F.coalesce(F.min(F.when(~F.isnan(v), v)), F.lit(float("inf")))),
         "max": lambda: shown(F.coalesce(F.max(F.when(~F.isnan(v), v)), F.lit(float("-inf")))),
-        "distinct": lambda: F.array_join(F.array_sort(F.collect_set(x)), ", "),
+        "distinct": lambda: F.array_join(F.array_sort(F.collect_list("_x")), ", "),
     }[kind]()
+    if kind == "distinct":
+        return _single(lines, lines.df.select(x.alias("_x")).distinct().agg(value.alias("content")), none)
     return _single(lines, lines.df.agg(value.alias("content")), none)
 
 
@@ -214,24 +216,28 @@ def on_group(lines: Lines, a: dict) -> Lines:
             "min": lambda: shown(F.min(F.coalesce(v, F.lit(HUGE)))),
             "max": lambda: shown(F.max(F.coalesce(v, F.lit(TINY)))),
             "distinct": lambda: F.count_distinct(x).cast("string"),
-            "freq": lambda: _frequencies(x),
+            "freq": lambda: None,
         }[kind]())
     first = lines.first_key()
-    df = lines.df
+    ascending = [] if first is None else [F.min(first).alias("_o0")]
+    plain = [m.alias(f"_a{i}") for i, m in enumerate(made) if m is not None]
+    df = lines.df.groupBy(key.alias("_key")).agg(*plain, *ascending, F.count("*").alias("_n"))
+    for i, (kind, n) in enumerate(a["functions"]):
+        if kind == "freq":
+            df = df.join(_frequencies(lines.df, key, F.coalesce(field(lines, n, True), F.lit("")), f"_a{i}"), "_key")
+    order = (("_o0", False),)
     if first is None:
-        df = df.withColumn("_rank", F.row_number().over(Window.orderBy(*lines.keys())))
-        first = F.col("_rank")
-    df = df.groupBy(key.alias("_key")).agg(*[m.alias(f"_a{i}") for i, m in enumerate(made)], F.min(first).alias("_o0"))
+        df, order = df.join(lines.first_of(key), "_key"), lines.order
     fields = F.array("_key", *[f"_a{i}" for i in range(len(made))])
-    df = df.select("_o0", F.lit("").alias("source_file"), F.lit(0).cast("long").alias("source_line"), F.array_join(fields, "\t").alias("content"), fields.alias("fields"))
-    return replace(lines, df=df, order=(("_o0", False),))
+    df = df.select(*[c for c, _ in order], F.lit("").alias("source_file"), F.lit(0).cast("long").alias("source_line"), F.array_join(fields, "\t").alias("content"), fields.alias("fields"))
+    return replace(lines, df=df, order=order)
 
 
-def _frequencies(x: Column) -> Column:
-    """key:count by key, from the sorted values of a group."""
-    values = F.array_sort(F.collect_list(x))
-    keys = F.array_distinct(values)
-    return F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit(":"), F.size(F.filter(values, lambda y: y == k)).cast("string"))), ";")
+def _frequencies(df: DataFrame, key: Column, x: Column, name: str) -> DataFrame:
+    """_key and value:count of each of its values, by value. Only different values of a key come together."""
+    counts = df.groupBy(key.alias("_key"), x.alias("_x")).agg(F.count("*").alias("_c"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_x", "_c"))), lambda e: F.concat(e["_x"], F.lit(":"), e["_c"].cast("string")))
+    return counts.groupBy("_key").agg(F.array_join(listed, ";").alias(name))
 
 
 def on_separator(lines: Lines, a: dict) -> Lines:

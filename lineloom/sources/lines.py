@@ -41,6 +41,24 @@ class Lines:
         """What grows with the order, where all of it ascends: a minimum of it needs no window."""
         return None if any(down for _, down in self.order) else F.struct(*[F.col(c) for c, _ in self.order])
 
+    def first_of(self, key: Column) -> DataFrame:
+        """_key and the order's columns of the first line of each key, by grouped extremes that are combined before a shuffle.
+
+        Columns of one direction in a row are compared at once, the last of them first: within a key and the columns in front
+        of them there is one extreme, which the next aggregate picks by the columns in front.
+        """
+        runs: list[tuple[bool, list[str]]] = []
+        for c, down in self.order:
+            if not runs or runs[-1][0] != down:
+                runs.append((down, []))
+            runs[-1][1].append(c)
+        df = self.df.select(key.alias("_key"), *[F.struct(*cs).alias(f"_r{i}") for i, (_, cs) in enumerate(runs)])
+        for i in range(len(runs) - 1, -1, -1):
+            held = F.struct(*[f"_r{j}" for j in range(i, len(runs))])
+            pick = F.max_by if runs[i][0] else F.min_by
+            df = df.groupBy("_key", *[f"_r{j}" for j in range(i)]).agg(pick(held, f"_r{i}").alias("_h")).select("_key", *[f"_r{j}" for j in range(i)], "_h.*")
+        return df.select("_key", *[f"_r{i}.*" for i in range(len(runs))])
+
     def new_order(self) -> str:
         n = 0
         while f"_o{n}" in self.df.columns:
