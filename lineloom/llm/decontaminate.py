@@ -5,8 +5,9 @@ join is shuffled). Every document is scanned once: each of its word windows is h
 hit is verified by comparing the words themselves.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; equal
-rows, and rows that repeat an id with another text, each get their own result; ids may be null; columns of
-the inputs other than the named ones pass through `remove` unchanged and play no part.
+rows, and rows that repeat an id with another text, each get their own result; ids may be null; the words of an
+item without id are hit, but it counts as no item; columns of the inputs other than the named ones, whatever their
+names, pass through `remove` unchanged and play no part.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, barrier, fits_broadcast, row_key
+from .common import LOWER, UPPER, ascii_lower, barrier, fits_broadcast, free_name, row_key
 
 #: The word pattern of the contract, after and before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,14 +77,15 @@ def remove(docs: DataFrame, items: DataFrame, *, drop_from_items: int | None = 2
     Documents that hold windows of drop_from_items items or more go (None: none go). In the others every word
     inside a hit goes, with the separator that follows it; documents without a hit stay byte for byte.
     """
-    hits = find_hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), _hit_words(F.col("spans")).alias("__hit"), F.size("item_ids").alias("__n"))
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__doc")) & (row_key(F.col(text_col)) == F.col("__key")), "left")
+    doc, key, hit, n = (free_name(docs, x) for x in ("__doc", "__key", "__hit", "__n"))
+    hits = find_hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias(doc), F.col("key").alias(key), _hit_words(F.col("spans")).alias(hit), F.size("item_ids").alias(n))
+    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col(doc)) & (row_key(F.col(text_col)) == F.col(key)), "left")
     if drop_from_items is not None:
-        joined = joined.filter(F.coalesce("__n", F.lit(0)) < drop_from_items)
+        joined = joined.filter(F.coalesce(n, F.lit(0)) < drop_from_items)
     words, gaps = F.array_remove(F.split(F.col(text_col), NO_WORD_ANY_CASE, -1), ""), F.split(F.col(text_col), WORD_ANY_CASE, -1)
     parts = F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("g"))
-    kept = F.transform(parts, lambda p, i: F.when(F.array_contains("__hit", i), F.lit("")).otherwise(F.concat(p["w"], p["g"])))
-    cleaned = F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(F.concat(gaps[0], F.array_join(kept, "")))
+    kept = F.transform(parts, lambda p, i: F.when(F.array_contains(hit, i), F.lit("")).otherwise(F.concat(p["w"], p["g"])))
+    cleaned = F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(F.concat(gaps[0], F.array_join(kept, "")))
     return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
@@ -97,7 +99,7 @@ dg AS (SELECT doc_id, i AS pos, n, array_to_string(w[i + 1 : i + n], ' ') AS gra
        FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM dw, ns WHERE len(w) >= n)),
 h AS (SELECT doc_id, pos, n, item_id FROM dg JOIN ig USING (n, gram)),
 nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY doc_id),
-ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
