@@ -187,3 +187,15 @@ def learn_pairs(df: DataFrame, text_col: str, merges: int) -> list[tuple[str, st
         state = state.select(F.filter(F.split(merged, "\u0001"), lambda c: c != "").alias("s"), "n")
     vocabulary.unpersist()
     return out
+
+
+def keywords(df: DataFrame, id_col: str, text_col: str, top: int = 10) -> DataFrame:
+    """id, word, score: words by their share of a text times how few of its sentences have them; ties by word."""
+    s = sentences_of(df, id_col, text_col)
+    said = s.select("id", "at", F.explode(words(F.lower("sentence"))).alias("word")).groupBy("id", "at", "word").agg(F.count("*").alias("c"))
+    total = s.groupBy("id").agg(F.count("*").alias("sentences"))
+    found = said.groupBy("id", "word").agg(F.sum("c").alias("c"), F.count("*").alias("df"))
+    all_ = found.groupBy("id").agg(F.sum("c").alias("words")).join(total, "id")
+    scored = found.join(all_, "id").select("id", "word", (F.col("c") / F.col("words") * (F.log(F.col("sentences") / F.col("df")) + 1)).alias("score"))
+    by = Window.partitionBy("id").orderBy(F.round("score", 12).desc(), "word")
+    return scored.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= top).drop("r")

@@ -113,3 +113,16 @@ def alerts(records: DataFrame, rules: DataFrame) -> DataFrame:
     r = F.broadcast(rules.select(F.col("name").alias("rule"), F.col("least"), F.col("contains").alias("_c")))
     met = (rank(F.col("severity")) >= rank(F.col("least"))) & F.col("message").contains(F.col("_c"))
     return records.join(r, met).drop("_c", "least")
+
+
+def statistics(parsed: DataFrame, top: int = 10) -> DataFrame:
+    """kind, value, n over parsed lines (record): records, errors (lines that no format fits), by severity, by format, top messages."""
+    kinds = F.array(
+        F.struct(F.when(F.col("record").isNull(), "errors").otherwise("records").alias("kind"), F.lit("").alias("value")),
+        F.when(F.col("record").isNotNull(), F.struct(F.lit("severity").alias("kind"), F.coalesce("record.severity", F.lit("unknown")).alias("value"))),
+        F.when(F.col("record").isNotNull(), F.struct(F.lit("format").alias("kind"), F.col("record.format").alias("value"))),
+        F.when(F.col("record").isNotNull(), F.struct(F.lit("message").alias("kind"), F.col("record.message").alias("value"))),
+    )
+    counts = parsed.select(F.explode(F.array_compact(kinds)).alias("k")).groupBy("k.kind", "k.value").agg(F.count("*").alias("n"))
+    messages = counts.filter("kind = 'message'").orderBy(F.col("n").desc(), "value").limit(top)
+    return counts.filter("kind <> 'message'").unionByName(messages)

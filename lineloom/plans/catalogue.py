@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import documents, graph, logs, records, rules, search, similarity, spans, table, text, timeline, transform
+from ..operators import documents, graph, index, logs, records, rules, search, similarity, spans, table, text, timeline, transform
 from ..sources import lines as sources
+from ..sources import sinks
 from . import colon
 from .compiler import query
 
@@ -575,6 +576,155 @@ def _(spark, d):
     return kinds.groupBy("format").agg(F.count("*").alias("n"))
 
 
+# options of search, records, logs, indexes, outputs and scalars ------------------------------------------------
+
+
+@add("search_glob", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, count(*) AS matches FROM l WHERE regexp_matches(c, '^.*the.*on.$') GROUP BY doc_id")
+def _(spark, d):
+    return search.count_per_file(document_lines(spark, d), [search.build("*the*on?", "glob")])
+
+
+@add("search_many_patterns", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, 'the' AS match, len(regexp_extract_all(c, 'the')) AS k FROM l WHERE contains(c, 'the') UNION ALL SELECT CAST(doc_id AS VARCHAR), n, 'on', len(regexp_extract_all(c, 'on')) FROM l WHERE contains(c, 'on')")
+def _(spark, d):
+    found = search.search(document_lines(spark, d), [search.build(p, "literal") for p in ("the", "on")])
+    return found.groupBy("source_file", "source_line", "match").agg(F.count("*").alias("k"))
+
+
+@add("search_invert_offsets", f"WITH {LINES} SELECT source_file, source_line, byte_offset FROM (SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line, c, CAST(sum(strlen(c) + 1) OVER (PARTITION BY doc_id ORDER BY n) - strlen(c) - 1 AS BIGINT) AS byte_offset FROM l) WHERE NOT contains(c, 'e')")
+def _(spark, d):
+    return search.search(document_lines(spark, d), [search.build("e", "literal")], invert=True).select("source_file", "source_line", "byte_offset")
+
+
+@add("search_only_matching", f"WITH {LINES} SELECT x AS content, count(*) AS n FROM (SELECT unnest(regexp_extract_all(c, '(?i)\\blicen[a-z]+')) AS x FROM l) GROUP BY x")
+def _(spark, d):
+    return search.search(document_lines(spark, d), [search.build(r"\blicen[a-z]+", ignore_case=True)], only_matching=True).groupBy("content").agg(F.count("*").alias("n"))
+
+
+@add("search_max_total", f"WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS source_file, n AS source_line FROM l WHERE contains(c, 'the') ORDER BY doc_id, n LIMIT 40")
+def _(spark, d):
+    return search.search(document_lines(spark, d), [search.build("^.*the.*$")], max_total=40).select("source_file", "source_line")
+
+
+@add("search_files", f"WITH {LINES} SELECT DISTINCT CAST(doc_id AS VARCHAR) AS source_file FROM l WHERE regexp_matches(c, '[0-9]{{4}}')")
+def _(spark, d):
+    return search.files_with_match(document_lines(spark, d), [search.build("[0-9]{4}")])
+
+
+@add("records_rules", f"WITH {EVENT_SQL} SELECT event_id + 1 AS nr, 0 AS rule, f3 || '|' || f1 AS fields FROM e WHERE contains(c, 'click') UNION ALL SELECT event_id + 1, 1, f1 || '|' || f2 || '|' || f3 FROM e WHERE CAST(f3 AS DOUBLE) > 5000")
+def _(spark, d):
+    lines = query(event_lines(spark, d), 'set separator ","')
+    found = records.records(lines, [records.Rule(pattern="click", fields=(3, 1)), records.Rule(condition=(">", 3, 5000.0))])
+    return found.select("nr", "rule", F.array_join("fields", "|").alias("fields"))
+
+
+@add("records_skipped", f"WITH {LINES}, k AS (SELECT doc_id, n - 2 AS nr FROM l WHERE n > 2) SELECT CAST(doc_id AS VARCHAR) AS source_file, count(*) AS n, max(nr) AS last FROM k WHERE nr <= 3 GROUP BY doc_id")
+def _(spark, d):
+    found = records.records(document_lines(spark, d), skip_lines=1, skip_header=True, max_records=3)
+    return found.groupBy("source_file").agg(F.count("*").alias("n"), F.max("nr").alias("last"))
+
+
+@add("records_frequencies", f"WITH {EVENT_SQL} SELECT f2 AS value, count(*) AS n FROM e GROUP BY f2")
+def _(spark, d):
+    return records.frequencies(records.records(query(event_lines(spark, d), 'set separator ","')), 2)
+
+
+def _rendered_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as syslog and access lines, and some that no format fits."""
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("200", "404", "503"))), (i % 3 + 1).cast("int"))
+    access = F.concat(F.lit("1.2.3.4 - - [01/Jan/2024] \"GET /"), "event_type", F.lit(" HTTP/1.1\" "), status, F.lit(" 12"))
+    syslog = F.concat(F.lit("Jan  2 03:04:05 host app["), i.cast("string"), F.lit("]: user did "), "event_type")
+    return read(spark, d, "events").select(F.when(i % 4 == 0, access).when(i % 4 == 1, "nothing").otherwise(syslog).alias("content"))
+
+
+@add("log_statistics", "WITH e AS (SELECT event_id AS i, event_type AS t FROM events), r AS (SELECT CASE WHEN i % 4 = 0 THEN 'access' ELSE 'syslog' END AS f, CASE WHEN i % 4 = 0 THEN ['info', 'warn', 'error'][i % 3 + 1] WHEN t = 'error' THEN 'error' ELSE 'unknown' END AS s, CASE WHEN i % 4 = 0 THEN 'GET /' || t || ' → ' || ['200', '404', '503'][i % 3 + 1] ELSE 'user did ' || t END AS m FROM e WHERE i % 4 <> 1) SELECT 'records' AS kind, '' AS value, count(*) AS n FROM r UNION ALL SELECT 'errors', '', count(*) FROM e WHERE i % 4 = 1 UNION ALL SELECT 'format', f, count(*) FROM r GROUP BY f UNION ALL SELECT 'severity', s, count(*) FROM r GROUP BY s UNION ALL (SELECT 'message', m, count(*) AS n FROM r GROUP BY m ORDER BY n DESC, m LIMIT 10)")
+def _(spark, d):
+    return logs.statistics(logs.parse_all(_rendered_logs(spark, d)))
+
+
+@add("index_stats", "WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), g AS (SELECT DISTINCT doc_id, substring(t, i, 3) AS tri FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)) SELECT count(DISTINCT doc_id) AS texts, count(DISTINCT tri) AS trigrams, count(*) AS postings FROM g")
+def _(spark, d):
+    return index.stats(index.build(read(spark, d, "documents"), "doc_id", "text"))
+
+
+@add("index_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+def _(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return index.search(index.build(docs, "doc_id", "text"), docs, "doc_id", "text", "License").select("doc_id")
+
+
+@add("index_search_regex", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'licens.[ds]? *un')")
+def _(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return index.search_regex(index.build(docs, "doc_id", "text"), docs, "doc_id", "text", "licens.[ds]? *un").select("doc_id")
+
+
+@add("index_stale", "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 3 = 1 AND text IS NOT NULL)")
+def _(spark, d):
+    """Against entries of an index that lacks a third of the texts and has another third in an older form."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    held = index.entries(docs.filter("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))), "doc_id", "text")
+    return index.stale(held, docs, "doc_id", "text")
+
+
+@add("output_csv", "SELECT CAST(c_custkey AS VARCHAR) || ',' || CASE WHEN regexp_matches(x, '[\",]') THEN '\"' || replace(x, '\"', '\"\"') || '\"' ELSE x END AS value FROM (SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN ', \"even\"' ELSE '' END AS x FROM customer)")
+def _(spark, d):
+    x = F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, ', "even"').otherwise(""))
+    return sinks.csv_lines(read(spark, d, "customer").select("c_custkey", x.alias("x")))
+
+
+@add("output_json_lines", "SELECT '{\"c_custkey\":' || c_custkey || ',\"name\":' || CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '\"' || c_name || '\"' END || '}' AS value FROM customer")
+def _(spark, d):
+    return sinks.json_lines(read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).alias("name")))
+
+
+@add("output_yaml", "SELECT '- c_custkey: ' || c_custkey || chr(10) || '  name: \"' || c_name || '\"' AS value FROM customer")
+def _(spark, d):
+    return sinks.yaml_lines(read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")))
+
+
+@add("depths", "SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer")
+def _(spark, d):
+    one = read(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b"))
+    two = read(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("c"), "c_custkey").alias("b"))
+    return graph.depths(one.union(two))
+
+
+@add("roots_and_leaves", "SELECT 'r' || r_regionkey AS node, true AS root, false AS leaf FROM region UNION ALL SELECT 'n' || n_nationkey, false, true FROM nation")
+def _(spark, d):
+    return graph.roots_and_leaves(read(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b")))
+
+
+@add("decoded", "SELECT doc_id, sha256(text) AS b64, sha256(text) AS hexed, sha256(text) AS url, sha256(text) AS html FROM documents")
+def _(spark, d):
+    t = F.col("text")
+    there = {"b64": scalar.base64_decode(scalar.base64_encode(t)), "hexed": scalar.hex_decode(scalar.hex_encode(t)), "url": scalar.url_decode(scalar.url_encode(t)), "html": scalar.html_unescape(scalar.html_escape(t))}
+    return read(spark, d, "documents").select("doc_id", *[F.sha2(c, 256).alias(n) for n, c in there.items()])
+
+
+@add("escaped_rotated", "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped, translate(url, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rotated FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2(scalar.html_escape(F.col("html")), 256).alias("escaped"), scalar.rot13(F.col("url")).alias("rotated"))
+
+
+@add("padded_texts", "SELECT p_partkey, rpad(p_name, greatest(40, length(p_name))::INT, ' ') AS l, lpad(p_name, greatest(40, length(p_name))::INT, ' ') AS r FROM part")
+def _(spark, d):
+    return read(spark, d, "part").select("p_partkey", scalar.padded(F.col("p_name"), 40).alias("l"), scalar.padded(F.col("p_name"), 40, "right").alias("r"))
+
+
+@add("more_dates", "SELECT o_orderkey, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS parsed FROM orders")
+def _(spark, d):
+    o = F.to_date("o_orderdate")
+    forms = [F.date_format(o, f) for f in ("yyyy-MM-dd", "M/d/yyyy", "d.M.yyyy", "yyyy/MM/dd", "d MMM yyyy")]
+    text_ = F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", scalar.is_leap_year(F.year(o)).alias("leap"), F.unix_timestamp(scalar.parse_date(text_)).alias("parsed"))
+
+
+@add("keywords", f"WITH s AS (SELECT doc_id AS id, unnest(range(0, len(p))) AS pos, unnest(p) AS t FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS p FROM documents)), w AS (SELECT id, pos, unnest(list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}''\\-]+'), lambda x: x <> '')) AS word FROM s), f AS (SELECT id, word, count(*) AS c, count(DISTINCT pos) AS df FROM w GROUP BY ALL), k AS (SELECT f.id, word, c / sum(c) OVER (PARTITION BY f.id) * (ln(n / df) + 1) AS score FROM f JOIN (SELECT id, count(*) AS n FROM s GROUP BY id) t ON t.id = f.id) SELECT id, word, round(score, 8) AS score FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, word) <= 3")
+def _(spark, d):
+    return documents.keywords(read(spark, d, "documents"), "doc_id", "text", 3).withColumn("score", F.round("score", 8))
+
+
 # samples ------------------------------------------------------------------------------------------------------
 
 
