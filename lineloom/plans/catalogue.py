@@ -84,8 +84,11 @@ on_documents("replace_first", 'replace /on/ with "<$0>"', r"SELECT doc_id, n AS
 on_documents("delete_lines", "delete lines matching /[0-9]/", ROWS + " WHERE NOT regexp_matches(c, '[0-9]')")
 on_documents("insert_before", 'insert "---" before /[0-9]{4}/ | find "---"', "SELECT doc_id, CAST(0 AS BIGINT) AS line, '---' AS content FROM l WHERE regexp_matches(c, '[0-9]{4}') UNION ALL SELECT doc_id, n, c FROM l WHERE contains(c, '---')")
 on_documents("insert_after", 'insert "+++" after "the" | count', "SELECT CAST(count(*) + count(*) FILTER (contains(c, 'the')) AS VARCHAR) AS content FROM l", only_content)
-on_documents("between_lines", 'find "e" between /[0-9]{3}/ and /[.]$/', "-", placed)
-del SQL["between_lines"]
+on_documents("between_lines", 'find "e" between /[0-9]{3}/ and /[.]$/', """, a AS (SELECT doc_id, n, c, regexp_matches(c, '[0-9]{3}') AS s, regexp_matches(c, '[.]$') AS e FROM l),
+b AS (SELECT *, CASE WHEN s AND NOT e THEN 1 WHEN e AND NOT s THEN 0 END AS f, sum(CASE WHEN s AND e THEN 1 ELSE 0 END) OVER (ORDER BY doc_id, n) AS k FROM a),
+d AS (SELECT *, last_value(f IGNORE NULLS) OVER (ORDER BY doc_id, n) AS lf, last_value(CASE WHEN f IS NOT NULL THEN k END IGNORE NULLS) OVER (ORDER BY doc_id, n) AS lk FROM b),
+g AS (SELECT *, (coalesce(lf, 0) + k - coalesce(lk, 0)) % 2 = 1 AS after_ FROM d),
+h AS (SELECT *, after_ OR coalesce(lag(after_) OVER (ORDER BY doc_id, n), false) AS within FROM g) SELECT doc_id, n AS line, c AS content FROM h WHERE within AND contains(c, 'e')""")
 on_documents("unique_lines", "unique | count", "SELECT CAST(count(DISTINCT c) AS VARCHAR) AS content FROM l", only_content)
 on_documents("if_else", 'if line contains "zzzzzz" then count else find "the" | count end', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(c, 'the')", only_content)
 on_documents("define_call", 'def f = find "the" | count end | call f', "SELECT CAST(count(*) AS VARCHAR) AS content FROM l WHERE contains(c, 'the')", only_content)
@@ -391,7 +394,7 @@ def _(spark, d):
     return done.select("source_file", "source_line", "result", F.size("tags").alias("tagged"))
 
 
-@add("state_machine")
+@add("state_machine", "WITH RECURSIVE r AS (SELECT user_id, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), m AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 'idle' AS state, CAST(NULL AS VARCHAR) AS emitted FROM events UNION ALL SELECT m.user_id, r.n, r.event_id, CASE WHEN state = 'idle' AND contains(t, 'purchase') THEN 'bought' WHEN state = 'bought' AND contains(t, 'error') THEN 'failed' WHEN state = 'failed' AND t <> '' THEN 'idle' WHEN state = 'bought' AND contains(t, 'click') THEN 'idle' ELSE state END, CASE WHEN state = 'idle' AND contains(t, 'purchase') THEN 'sale' WHEN state = 'bought' AND contains(t, 'error') THEN 'loss' END FROM m JOIN r ON r.user_id = m.user_id AND r.n = m.n + 1) SELECT user_id AS key, event_id AS at, state, emitted FROM m WHERE n > 0")
 def _(spark, d):
     moves = [rules.Transition("idle", "purchase", "bought", "sale"), rules.Transition("bought", "error", "failed", "loss"), rules.Transition("failed", ".", "idle"), rules.Transition("bought", "click", "idle")]
     return rules.machine(read(spark, d, "events"), "user_id", "event_id", "event_type", "idle", moves)
@@ -526,7 +529,11 @@ def _(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.dayofyear(o).alias("doy"), scalar.day_of_week(o).alias("dow"), scalar.days_in_month(o).alias("days"))
 
 
-@add("scripts")
+#: Scripts as DuckDB's regular expressions name them.
+_SCRIPTS = ", ".join(f"{{'n': length(text) - length(regexp_replace(text, '[{p.replace('{Is', '{')}]', '', 'g')), 'i': {i}, 's': '{s}'}}" for i, (s, p) in enumerate(scalar.SCRIPTS.items()))
+
+
+@add("scripts", f"WITH b AS (SELECT lang, list_max([{_SCRIPTS}]) AS b FROM documents) SELECT lang, CASE WHEN b.n > 0 THEN b.s ELSE 'Unknown' END AS script, count(*) AS n FROM b GROUP BY 1, 2")
 def _(spark, d):
     return read(spark, d, "documents").groupBy("lang", scalar.script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
