@@ -29,6 +29,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 #: Code points that are handled in one go.
 CHUNK = 1 << 19
 #: Pieces whose ids are kept by a worker.
@@ -249,7 +251,7 @@ class Codec:
         self.known: dict[bytes, int] = {}  # long pieces
         self.count = 0  # of pieces; the ids of each lie in ids from ends[k] to ends[k + 1]
         self.ids, self.ends = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64)
-        self.slots = np.full(1 << SLOTS, -1, np.int32)
+        self.slots = np.zeros(1 << SLOTS, np.int32)  # numbers of short pieces plus 1; what is 0 takes no memory before it is written
         self.low, self.high, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
 
     def append(self, ids: np.ndarray, counts: np.ndarray) -> int:
@@ -276,7 +278,7 @@ class Codec:
         index = np.full(len(size), -1, np.int64)
         todo = np.flatnonzero(size <= SHORT_PIECE)
         for k in range(PROBES):
-            s = self.slots[(slot[todo] + k) & mask]
+            s = self.slots[(slot[todo] + k) & mask] - 1
             hit = (s >= 0) & (self.low[s] == low[todo]) & (self.high[s] == high[todo]) & (self.size[s] == size[todo])
             index[todo[hit]] = s[hit]
             todo = todo[~hit]
@@ -292,9 +294,9 @@ class Codec:
             number = index[one]
             for k in range(PROBES):
                 at = (slot[one] + k) & mask
-                free = self.slots[at] < 0
-                self.slots[at[free]] = number[free]
-                left = self.slots[at] != number
+                free = self.slots[at] == 0
+                self.slots[at[free]] = number[free] + 1
+                left = self.slots[at] != number + 1
                 one, number = one[left], number[left]
         long = np.flatnonzero(size > SHORT_PIECE)
         for i, a, b in zip(long.tolist(), cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
@@ -386,7 +388,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
                 yield pa.RecordBatch.from_arrays([rows[f.name] for f in kept] + made, names=[f.name for f in [*kept, *new]])
         c.forget()  # workers go on to other stages, whose memory this is then
 
-    return docs.select(*docs.columns).mapInArrow(run, T.StructType([*kept, *new]))
+    return map_arrow(docs.select(*docs.columns), run, T.StructType([*kept, *new]))
 
 
 def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -405,4 +407,4 @@ def decode(rows: DataFrame, path: str, *, ids_col: str = "ids", bytes_col: str =
                 made = pa.array([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part[f.name] for f in kept] + [made], names=[f.name for f in kept] + [bytes_col])
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(bytes_col, T.BinaryType())]))
+    return map_arrow(rows, run, T.StructType([*kept, T.StructField(bytes_col, T.BinaryType())]))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, row_key, sent_if_small
+from .common import discard, free_name, map_arrow, materialize, row_key, sent_if_small
 from .shingles import mix, shingle_sets
 
 MAX_ROUNDS = 2
@@ -172,7 +172,7 @@ def sketch_rows(docs: DataFrame, width: int, salt: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own["doc"], own["row_key"], *made], names=["doc", "row_key", "n", "cid", "digest", "sketch"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, row_key long, n long, cid long, digest binary, sketch array<long>")
+    return map_arrow(docs, run, f"doc {kind}, row_key long, n long, cid long, digest binary, sketch array<long>")
 
 
 def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
@@ -223,7 +223,7 @@ def key_rows(docs: DataFrame, width: int, num: int, den: int, salt: int) -> Data
         if sum(map(len, keys)):
             yield batch_of()
 
-    return docs.mapInArrow(run, "key long, deal long, code long, leader long, need short")
+    return map_arrow(docs, run, "key long, deal long, code long, leader long, need short")
 
 
 def key_groups(keyed: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
             total = np.array(batch["n_a"]) + np.array(batch["n_b"])
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(apart * (den + num) <= total * (den - num)))
 
-    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return map_arrow(pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a long, b long, n_a long, n_b long")
 
 
 def verified(near: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -271,7 +271,7 @@ def verified(near: DataFrame, texts: DataFrame, width: int, num: int, den: int)
                     ok.append(both * den >= (len(x) + len(y) - both) * num)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return near.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return map_arrow(near.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b"), run, "a long, b long")
 
 
 def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: int | None) -> DataFrame:
@@ -356,7 +356,7 @@ def sifted(members: DataFrame, classes: DataFrame, num: int, den: int, forest: i
         if held is not None:
             yield pairs_of(held | {"first": np.cumsum(held["words"]) - held["words"]})
 
-    return rows.mapInArrow(run, "key long, a long, b long")
+    return map_arrow(rows, run, "key long, a long, b long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:

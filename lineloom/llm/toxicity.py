@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 #: Word length from which misspellings count.
 FUZZY = 5
@@ -223,7 +223,7 @@ def _terms(texts: DataFrame) -> DataFrame:
         if words or stems:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    return map_arrow(texts.select("text"), run, "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n"))
 
 
 def _held(terms: DataFrame) -> tuple[set[str], set[str]] | None:
@@ -267,7 +267,7 @@ def _contexts(texts: DataFrame, terms: DataFrame) -> DataFrame:
                     yield out()
             yield out()
 
-    pairs = texts.mapInArrow(run, "term string, stem boolean, context string").select("term", "stem", F.xxhash64("context").alias("context")).distinct()
+    pairs = map_arrow(texts, run, "term string, stem boolean, context string").select("term", "stem", F.xxhash64("context").alias("context")).distinct()
     return terms.join(pairs.groupBy("term", "stem").agg(F.count("*").alias("contexts")), ["term", "stem"])
 
 
@@ -349,7 +349,7 @@ def _mapped(docs: DataFrame, model: Model, name: str, kind: T.DataType, value, t
                 made = pa.array([value(scorer, t.as_py()) for t in part[text_col]], T_ARROW[kind.simpleString()])
                 yield pa.RecordBatch.from_arrays([part[f.name] for f in kept] + [made], names=[f.name for f in kept] + [name])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, kind)]))
+    return map_arrow(docs, run, T.StructType([*kept, T.StructField(name, kind)]))
 
 
 T_ARROW = {"double": pa.float64(), "array<double>": pa.list_(pa.float64())}

@@ -1,8 +1,12 @@
 """Stages of the pipeline and queries of the operators: whole tables, empty tables, columns that clash."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -128,3 +132,32 @@ def test_columns_that_clash(spark, folder):
     assert decontaminate.score(docs, items).count() == jaccard.near_duplicates(docs).count() == len(rows)
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("doc_id", "toxic"))
     assert toxicity.score(docs.drop("score"), model).count() == len(rows)
+
+
+#: Prints the worker and the MB that it holds of its own, after a few texts and after 72 MB of them.
+WORKER = """
+import os, re, pyarrow as pa
+from pyspark.sql import SparkSession, functions as F
+from lineloom.llm import jaccard
+
+def held(batches):
+    for batch in batches:
+        kb = re.search(r"Private_Dirty: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [int(kb) >> 10]})
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+for rows in (10, 12_000):
+    words = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.xxhash64(i, "id").cast("string").substr(1, 9))
+    texts = spark.range(0, rows, 1, 1).select(F.concat_ws(" ", words).alias("t"))
+    jaccard.key_rows(texts, 5, 8, 10, 0).write.format("noop").mode("overwrite").save()
+    print(*spark.range(0, 1, 1, 1).mapInArrow(held, "pid long, mb long").collect()[0])
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_workers_give_memory_back():
+    root = Path(__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", WORKER], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300, check=True).stdout
+    (one, few), (two, many) = (map(int, line.split()) for line in said.splitlines()[-2:])
+    assert one == two
+    assert many - few < 10
