@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +38,21 @@ def fnv1a(data: bytes, seed: int = 0) -> int:
 
 
 def fnv1a_all(items: list[bytes], seeds: tuple[int, ...] = (0,)) -> np.ndarray:
-    """Hashes of all items, a row for each seed: byte after byte, of all items that are that long at once."""
+    """Hashes of all items, a row for each seed."""
     sizes = np.array([len(x) for x in items], np.int64)
+    return _fnv1a(np.frombuffer(b"".join(items), np.uint8), np.cumsum(sizes) - sizes, sizes, seeds)
+
+
+def _fnv1a(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
+    """Byte after byte, of all items that are that long at once."""
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(items), np.uint8)
-    begins = (np.cumsum(sizes) - sizes)[order]
+    begins = begins[order]
     left = np.append(np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right"), 0)
-    h = np.repeat((np.array(seeds, np.uint64) ^ np.uint64(BASIS))[:, None], len(items), axis=1)
+    h = np.repeat((np.array(seeds, np.uint64) ^ np.uint64(BASIS))[:, None], len(sizes), axis=1)
     for i, n in enumerate(left[:-1].tolist()):
-        h[:, :n] = (h[:, :n] ^ data[begins[:n] + i]) * np.uint64(PRIME)
+        now = h[:, :n]
+        np.bitwise_xor(now, data[begins[:n] + i], out=now)
+        np.multiply(now, np.uint64(PRIME), out=now)
     out = np.empty_like(h)
     out[:, order] = h
     return out
@@ -54,31 +63,45 @@ def shingled(df: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(shingles(F.col(text_col), n))).alias(name))
 
 
-@F.pandas_udf(T.LongType())
-def simhash(parts: pd.Series) -> pd.Series:
-    """Of an array of shingles, repeats included, as a signed number."""
-    def one(items) -> int:
-        if items is None or not len(items):
-            return 0
-        bits = np.unpackbits(fnv1a_all([s.encode() for s in items])[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(bits)
-        return int(np.packbits((votes > 0).astype(np.uint8), bitorder="little").view("<i8")[0])
+#: How many shingles are hashed at once.
+AT_ONCE = 4096
+
+
+def _hashed(parts: pa.Array, seeds: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes (a row for each seed) and the row numbers, ascending, of the shingles of all rows, some at a time, straight from Arrow's buffers."""
+    parts = parts.cast(pa.list_(pa.string()))
+    rows, items = pc.list_parent_indices(parts).to_numpy(), parts.flatten()
+    _, places, data = items.buffers()
+    if not len(items):
+        return
+    offsets = np.frombuffer(places, np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    for at in range(0, len(items), AT_ONCE):
+        o = offsets[at : at + AT_ONCE + 1]
+        yield _fnv1a(data, o[:-1], np.diff(o), seeds), rows[at : at + AT_ONCE]
 
-    return parts.map(one)
+
+@F.arrow_udf(T.LongType())
+def simhash(parts: pa.Array) -> pa.Array:
+    """Of an array of shingles, repeats included, as a signed number."""
+    votes = np.zeros((len(parts), 64), np.int64)
+    for hashes, rows in _hashed(parts, (0,)):
+        bits = np.unpackbits(hashes[0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+        votes[rows[begins]] += np.add.reduceat(2 * bits.astype(np.int32) - 1, begins, axis=0)
+    return pa.array(np.packbits((votes > 0).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0], pa.int64())
 
 
 def minhash(count: int = 100):
     """A function of an array of shingles: the least hash by each of count seeds, as signed numbers (unsigned order)."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signature(parts: pd.Series) -> pd.Series:
-        def one(items):
-            least = np.full(count, MASK, np.uint64)
-            different = [s.encode() for s in set(items if items is not None else ())]
-            for at in range(0, len(different), 4096):
-                least = np.minimum(least, fnv1a_all(different[at : at + 4096], tuple(range(count))).min(axis=1))
-            return least.view(np.int64)
-
-        return parts.map(one)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def signature(parts: pa.Array) -> pa.Array:
+        least = np.full((len(parts), count), MASK, np.uint64)
+        for hashes, rows in _hashed(parts, tuple(range(count))):
+            begins = np.flatnonzero(np.diff(rows, prepend=-1))
+            at = rows[begins]
+            least[at] = np.minimum(least[at], np.minimum.reduceat(hashes, begins, axis=1).T)
+        return pa.ListArray.from_arrays(np.arange(0, least.size + 1, count, np.int32), pa.array(least.view(np.int64).ravel()))
 
     return signature
 
@@ -151,14 +174,14 @@ def rolling_hashes(items: list[bytes], size: int) -> list[np.ndarray]:
         return out
     sizes = np.array([len(items[i]) for i in order])
     begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(items[i] for i in order), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(items[i] for i in order), np.uint8)
     hashes = np.empty(len(data), np.uint64)
     h = np.zeros(len(order), np.uint64)
     for k in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -k, "left"))  # items longer than k
         at, now = begins[:n] + k, h[:n]
         if k >= size:
-            now = (now + p - data[at - size] * np.uint64(top) % p) % p
+            now = (now + p - data[at - size].astype(np.uint64) * np.uint64(top) % p) % p
         h[:n] = (now * base + data[at]) % p
         hashes[at] = h[:n]
     for i, b, n in zip(order, begins, sizes, strict=True):
@@ -166,12 +189,23 @@ def rolling_hashes(items: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+#: Bytes of texts whose rolling hashes are held at once.
+HELD = 1 << 22
+
+
 def chunk_boundaries(size: int, mask: int):
     """A function of texts: byte offsets behind windows whose hash has no bit of mask."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def found(text: pd.Series) -> pd.Series:
-        data = [(t or "").encode() for t in text]
-        return pd.Series([np.flatnonzero((h & np.uint64(mask)) == 0) + size for h in rolling_hashes(data, size)])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def found(text: pa.Array) -> pa.Array:
+        out: list = [None] * len(text)
+        data = text.cast(pa.large_binary()).fill_null(b"")
+        sizes = pc.binary_length(data).to_numpy()
+        order = np.argsort(-sizes, kind="stable")  # texts of like length go side by side
+        for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // HELD)) + 1):
+            hashes = rolling_hashes(data.take(pa.array(some)).to_pylist(), size)
+            for i, h in zip(some.tolist(), hashes, strict=True):
+                out[i] = np.flatnonzero((h & np.uint64(mask)) == 0) + size
+        return pa.array(out, pa.list_(pa.int64()))
 
     return found
 

@@ -38,3 +38,10 @@ def test_redacted_as_its_sql(spark, tmp_path):
     put(spark, tmp_path, ["38.253.197.126 4880761348116108", "aé123-45-6789é x123-45-6789", "toKen = abcdefghijkſmnopqr", "4111\x0b1111 1111 1111", "password: a_b-c.d@example.org0123456789abcdef", None, "", "a@b.co 555 123-4567"])
     assert by_query(spark, tmp_path, "redacted") == by_sql(tmp_path, "redacted")
     assert by_query(spark, tmp_path, "detections") == by_sql(tmp_path, "detections")
+
+
+def test_fingerprints_in_little_memory():
+    parts = pa.array([[f"some {i} shingle{j}" for j in range(300)] for i in range(1000)])
+    texts = pa.array([f"{i} " * 4000 for i in range(1000)])
+    assert peak_mb(similarity.simhash.func, parts) < 30 and peak_mb(similarity.minhash(32).func, parts) < 30
+    assert peak_mb(similarity.chunk_boundaries(16, 0xFFF).func, texts) < 130
