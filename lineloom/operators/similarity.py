@@ -122,9 +122,9 @@ def similar_signatures(df: DataFrame, id_col: str, signature: str, count: int, t
     Signatures that may disagree in d positions agree in one of d + 1 bands as a whole, so no pair is missed. A class is
     named after its smallest id and takes part once, however many rows it has.
     """
-    known = df.select(F.col(id_col).alias("id"), F.col(signature).alias("s")).filter("id is not null and s is not null")
+    known = checkpointed(df.select(F.col(id_col).alias("id"), F.col(signature).alias("s"))).filter("id is not null and s is not null")  # a filter in front would have signatures made twice
     classes = checkpointed(known.groupBy("s").agg(F.min("id").alias("class")))
-    members = known.join(classes, "s").select("class", "id")
+    members = checkpointed(known.join(classes, "s").select("class", "id"))
     bands = min(count - math.ceil(threshold * count - 1e-9) + 1, count)
     edges = [count * i // bands for i in range(bands + 1)]
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("s", a + 1, b - a)).alias("h")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])

@@ -45,3 +45,16 @@ def test_fingerprints_in_little_memory():
     texts = pa.array([f"{i} " * 4000 for i in range(1000)])
     assert peak_mb(similarity.simhash.func, parts) < 30 and peak_mb(similarity.minhash(32).func, parts) < 30
     assert peak_mb(similarity.chunk_boundaries(16, 0xFFF).func, texts) < 130
+
+
+def test_signatures_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def signature(i):
+        made.add(1)
+        return [i // 2, i // 2, i // 2, i % 2]
+
+    df = spark.range(20).select("id", signature("id").alias("s"))
+    got = similarity.find_duplicates(df, "id", "s", 4, 0.75)
+    assert {tuple(r) for r in got.collect()} == {(i // 2 * 2, i) for i in range(20)} and made.value == 20
