@@ -6,8 +6,11 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lineloom.operators import similarity
+from lineloom.functions import scalar
+from lineloom.operators import documents, index, search, similarity
 from lineloom.plans import catalogue
+from lineloom.plans.compiler import query
+from lineloom.sources import lines as sources
 
 
 def by_sql(folder, name, table="documents"):
@@ -58,3 +61,6 @@ def test_signatures_are_made_once(spark):
     df = spark.range(20).select("id", signature("id").alias("s"))
     got = similarity.find_duplicates(df, "id", "s", 4, 0.75)
     assert {tuple(r) for r in got.collect()} == {(i // 2 * 2, i) for i in range(20)} and made.value == 20
+
+
+ODD = ["One a. Two a b! Three? a'b-c b", None, "", "  . ! ", "same. same. same same other.\n\nÉé é漢字 😀x 漢字", "the the on onthe the", "x" * 70 + " y" * 5, "Ωmega ωμέγα 12 ٣٤ Привет мир", "licens  un License the token the", "ab", "tab\tand\x0bmore_words l'été"]
