@@ -11,13 +11,16 @@ import tarfile
 import tomllib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import words
+from .batches import coded, pieces, ranks, slices
+from .text import BREAK, spaced, words
 
 STRING = T.StringType()
 
@@ -79,17 +82,61 @@ def sentences_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.posexplode(cut).alias("at", "sentence"))
 
 
+def _said(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, s: all sentences of an id (at, sentence, and words with spaces between them) in one row. Rows without id take no part."""
+    known = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.collect_list(text_col).alias("texts"))
+    cut = lambda t: F.filter(F.split(t, r"(?<=[.!?])\s+", -1), lambda s: F.trim(s) != "")
+    return known.select("id", F.flatten(F.transform("texts", lambda t: F.transform(cut(t), lambda s, i: F.struct(i.alias("at"), s.alias("sentence"), spaced(F.lower(s), BREAK).alias("words"))))).alias("s"))
+
+
+def _counted(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of rows of _said: the row of each sentence; its place (row, then at); for each place and word of it the place, the word and how often it is said; the words; and how many places make up a row."""
+    owners = pc.list_parent_indices(some["s"]).to_numpy().astype(np.int64)
+    at, _, said = some["s"].flatten().flatten()
+    at = at.to_numpy().astype(np.int64)
+    wide = int(at.max(initial=0)) + 1
+    places = owners * wide + at
+    which, codes, terms = coded(said)
+    many = max(len(terms), 1)
+    keys, c = np.unique(places[which] * many + codes, return_counts=True)
+    return owners, places, keys // many, keys % many, c, terms, wide
+
+
+def _best_sentences(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "s"):
+                owners, places, where, codes, c, terms, wide = _counted(some)
+                if not len(where):
+                    continue
+                total, many = np.bincount(owners, minlength=some.num_rows), len(terms)
+                _, pair, df = np.unique(where // wide * many + codes, return_inverse=True, return_counts=True)
+                idf = np.log(total[where // wide] / df[pair]) + 1
+                begins = np.flatnonzero(np.diff(where, prepend=-1))
+                scored, score = where[begins], np.round(np.add.reduceat(c * idf, begins) / np.add.reduceat(c, begins), 12)  # sums differ by their order
+                found = np.searchsorted(scored, places).clip(max=len(scored) - 1)
+                rated = np.flatnonzero(scored[found] == places)  # sentences with words
+                order = rated[np.lexsort((places[rated], -score[found[rated]], owners[rated]))]
+                begins = np.flatnonzero(np.diff(owners[order], prepend=-1))
+                nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+                chosen = np.sort(order[nth < n])
+                chosen = chosen[np.argsort(places[chosen], kind="stable")]
+                begins = np.flatnonzero(np.diff(owners[chosen], prepend=-1))
+                lists = pa.ListArray.from_arrays(np.append(begins, len(chosen)).astype(np.int32), some["s"].flatten().flatten()[1].take(pa.array(chosen)))
+                yield from pieces({"id": some["id"].take(pa.array(owners[chosen[begins]])), "summary": pc.binary_join(lists, " ")})
+
+    return run
+
+
 def summary(df: DataFrame, id_col: str, text_col: str, n: int = 3, method: str = "tf_idf") -> DataFrame:
-    """id, summary: the n best sentences of each text, in their order. method: tf_idf (sentences are the documents), or lead."""
-    s = sentences_of(df, id_col, text_col)
-    if method == "lead":
-        ranked = s.withColumn("score", -F.col("at"))
-    else:
-        tokens = s.select("id", "at", F.explode(words(F.lower("sentence"))).alias("w")).groupBy("id", "at", "w").agg(F.count("*").alias("c"))
-        total = s.groupBy("id").agg(F.count("*").alias("n"))
-        rarity = tokens.groupBy("id", "w").agg(F.count("*").alias("df")).join(total, "id").select("id", "w", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
-        scores = tokens.join(rarity, ["id", "w"]).groupBy("id", "at").agg((F.sum(F.col("c") * F.col("idf")) / F.sum("c")).alias("score"))
-        ranked = s.join(scores, ["id", "at"])
+    """id, summary: the n best sentences of each text, in their order. method: tf_idf (sentences are the documents), or lead.
+
+    By tf_idf, the texts of an id are brought together once and worked on as a whole, with equal scores in order.
+    """
+    if method != "lead":
+        kind = df.select(F.col(id_col).alias("id")).schema
+        return _said(df, id_col, text_col).mapInArrow(_best_sentences(n), T.StructType([*kind, T.StructField("summary", STRING)]))
+    ranked = sentences_of(df, id_col, text_col).withColumn("score", -F.col("at"))
     best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "at"))).filter(F.col("r") <= n)
     return best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
 
@@ -189,13 +236,38 @@ def learn_pairs(df: DataFrame, text_col: str, merges: int) -> list[tuple[str, st
     return out
 
 
+def _likely_keywords(top: int):
+    """id, word, c, df, words, sentences of words that can be among the top of an id: those of scores from just below its top-th, and of words that count alike the first in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "s"):
+                owners, _, where, codes, c, terms, wide = _counted(some)
+                total, many = np.bincount(owners, minlength=some.num_rows), max(len(terms), 1)
+                keys, pair, df = np.unique(where // wide * many + codes, return_inverse=True, return_counts=True)
+                c, rows, codes = np.bincount(pair, c, len(keys)).astype(np.int64), keys // many, keys % many
+                words = np.bincount(rows, c, some.num_rows).astype(np.int64)[rows]
+                score = c / words * (np.log(total[rows] / df) + 1)
+                order = np.lexsort((ranks(terms)[codes], df, c, -score, rows))
+                rows, codes, c, df, words, score = (x[order] for x in (rows, codes, c, df, words, score))
+                nth = lambda new: np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+                new = np.diff(rows, prepend=-1) != 0
+                alike = nth(new | (np.diff(c, prepend=-1) != 0) | (np.diff(df, prepend=-1) != 0))
+                last = np.full(some.num_rows, -np.inf)
+                is_last = nth(new) == top - 1
+                last[rows[is_last]] = score[is_last]
+                keep = np.flatnonzero((alike < top) & (score >= last[rows] - 1e-9))
+                yield from pieces({"id": some["id"].take(pa.array(rows[keep])), "word": terms.take(pa.array(codes[keep])), "c": c[keep], "df": df[keep], "words": words[keep], "sentences": total[rows[keep]]})
+
+    return run
+
+
 def keywords(df: DataFrame, id_col: str, text_col: str, top: int = 10) -> DataFrame:
-    """id, word, score: words by their share of a text times how few of its sentences have them; ties by word."""
-    s = sentences_of(df, id_col, text_col)
-    said = s.select("id", "at", F.explode(words(F.lower("sentence"))).alias("word")).groupBy("id", "at", "word").agg(F.count("*").alias("c"))
-    total = s.groupBy("id").agg(F.count("*").alias("sentences"))
-    found = said.groupBy("id", "word").agg(F.sum("c").alias("c"), F.count("*").alias("df"))
-    all_ = found.groupBy("id").agg(F.sum("c").alias("words")).join(total, "id")
-    scored = found.join(all_, "id").select("id", "word", (F.col("c") / F.col("words") * (F.log(F.col("sentences") / F.col("df")) + 1)).alias("score"))
+    """id, word, score: words by their share of a text times how few of its sentences have them; ties by word.
+
+    The texts of an id are brought together once; its words are counted there, and only those that can be among the top are ranked.
+    """
+    kind = df.select(F.col(id_col).alias("id")).schema
+    found = _said(df, id_col, text_col).mapInArrow(_likely_keywords(top), T.StructType([*kind, T.StructField("word", STRING), *[T.StructField(k, T.LongType()) for k in ("c", "df", "words", "sentences")]]))
+    scored = found.select("id", "word", (F.col("c") / F.col("words") * (F.log(F.col("sentences") / F.col("df")) + 1)).alias("score"))
     by = Window.partitionBy("id").orderBy(F.round("score", 12).desc(), "word")
     return scored.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= top).drop("r")
