@@ -7,27 +7,50 @@ A search compares the texts that are left. Texts without id aren't found; null t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text_rules import java_regex
+from .batches import pieces
 from .search import glob_regex
 
+#: Pairs of trigrams and texts that are made at once (those of one text at least).
+TRIGRAMS = 1 << 18
 _GROUPED = re.compile(r"[(|]")
 _PIECE = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}|[.*+?^$]|[^\\\[{.*+?^$]+", re.S)
 
 
-def trigrams_of(text: Column) -> Column:
-    """Different runs of three characters, lower-cased. Characters meet their successors; none is looked up by position."""
-    pair = lambda a, b: F.concat(a, b)
-    made = F.transform(F.array(F.split(F.lower(text), "")), lambda c: F.zip_with(F.zip_with(c, F.slice(c, 2, 1 << 30), pair), F.slice(c, 3, 1 << 30), pair))
-    return F.array_distinct(F.array_compact(made[0]))
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different runs of three characters of lower-cased texts, each as one number until all of some texts are known."""
+    def numbers(text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            sets, held = [], 0
+            while at + len(sets) < batch.num_rows and held < TRIGRAMS:
+                made = [numbers(t) for t in batch["texts"][at + len(sets)].as_py()]
+                sets.append(np.unique(np.concatenate([np.empty(0, np.int64), *made])))
+                held += len(sets[-1])
+            different, which = np.unique(np.concatenate(sets), return_inverse=True)
+            whole = np.stack([different >> 42, different >> 21 & 0x1FFFFF, different & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+            names = pa.array([whole[i : i + 3] for i in range(0, len(whole), 3)], pa.string())
+            rows = np.repeat(np.arange(at, at + len(sets)), [len(s) for s in sets])
+            yield from pieces({"tri": names.take(pa.array(which)), "id": batch["id"].take(pa.array(rows))})
+            at += len(sets)
 
 
 def build(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """tri, id."""
-    return df.filter(F.col(id_col).isNotNull()).select(F.explode(trigrams_of(F.col(text_col))).alias("tri"), F.col(id_col).alias("id")).distinct()
+    """tri, id: every pair once. The texts of an id are brought together first, so that no pair has to be shuffled."""
+    known = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.lower(text_col)).alias("texts"))
+    return known.mapInArrow(_trigrams, T.StructType([T.StructField("tri", T.StringType()), *known.select("id").schema]))
 
 
 def save(index: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -66,6 +66,17 @@ def test_signatures_are_made_once(spark):
 ODD = ["One a. Two a b! Three? a'b-c b", None, "", "  . ! ", "same. same. same same other.\n\nÉé é漢字 😀x 漢字", "the the on onthe the", "x" * 70 + " y" * 5, "Ωmega ωμέγα 12 ٣٤ Привет мир", "licens  un License the token the", "ab", "tab\tand\x0bmore_words l'été"]
 
 
+def test_words_and_trigrams_as_their_sql(spark, tmp_path):
+    put(spark, tmp_path, ODD * 2)
+    for name in ("cooccurrence", "degree_centrality", "tf_idf", "tf_idf_search", "keywords", "index_stats", "index_search", "index_search_regex", "search_many_patterns"):
+        assert by_query(spark, tmp_path, name) == by_sql(tmp_path, name), name
+
+
+def exchanges(df):
+    """How often a plan deals rows out."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_summary_of_an_ids_texts(spark):
     df = spark.createDataFrame([(1, "a a a. b c. b c. d e."), (2, "..."), (3, None), (4, "x. y. z."), (None, "q.")], "id long, text string")
     assert {tuple(r) for r in documents.summary(df, "id", "text", 2).collect()} == {(1, "a a a. d e."), (4, "x. y.")}
