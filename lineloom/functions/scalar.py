@@ -271,9 +271,12 @@ def case_fold(x: Column) -> Column:
 
 def script(x: Column) -> Column:
     """The script of most characters; the later of equals."""
-    counts = [F.struct((F.length(x) - F.length(F.regexp_replace(x, f"[{p}]", ""))).alias("n"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, (s, p) in enumerate(SCRIPTS.items())]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["s"]).otherwise("Unknown")
+    left = lambda t, p: F.length(F.regexp_replace(t, f"[{p}]+", ""))
+    latin = F.length(x) - left(x, "A-Za-z0-9")
+    # of ASCII, only Latin letters and digits count; for the rest each script is looked for in what ASCII leaves
+    counts = lambda t: F.array(*[F.struct((F.length(t) - left(t, p) + (latin if s == "Latin" else 0)).alias("n"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, (s, p) in enumerate(SCRIPTS.items())])
+    best = F.transform(F.array(F.regexp_replace(x, r"[\x00-\x7F]+", "")), lambda t: F.array_max(counts(t)))[0]
+    return F.transform(F.array(best), lambda b: F.when(b["n"] > 0, b["s"]).otherwise("Unknown"))[0]
 
 
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"

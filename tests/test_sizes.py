@@ -80,3 +80,12 @@ def exchanges(df):
 def test_summary_of_an_ids_texts(spark):
     df = spark.createDataFrame([(1, "a a a. b c. b c. d e."), (2, "..."), (3, None), (4, "x. y. z."), (None, "q.")], "id long, text string")
     assert {tuple(r) for r in documents.summary(df, "id", "text", 2).collect()} == {(1, "a a a. d e."), (4, "x. y.")}
+
+
+def test_scripts_drop_ascii_once(spark, tmp_path):
+    texts = [*ODD, "ab漢字仮", "ab漢字", "ーカタカナ", "שלום abc", "é" * 5 + "1234567", "…", "!?", "שלום مرحبا"]
+    rows = [(i, t, str(i)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert by_query(spark, tmp_path, "scripts") == by_sql(tmp_path, "scripts")
+    plan = spark.range(1).select(F.lit("a").alias("t")).select(scalar.script(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(t") < len(scalar.SCRIPTS)  # only ASCII is looked for in whole texts
