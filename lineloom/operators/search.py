@@ -26,15 +26,14 @@ def occurrences(line: Column, regex: str) -> Column:
 
     The text between matches and the matches alternate, so that offsets are running sums of lengths.
     """
-    between = F.split(line, F.lit(regex), -1)
-    found = F.regexp_extract_all(line, F.lit(regex), F.lit(0))
-    step = lambda acc, m, i: F.struct(
-        (acc["at"] + F.octet_length(F.get(between, i)) + F.octet_length(m)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.octet_length(F.get(between, i)) + 1).alias("begin"), (acc["at"] + F.octet_length(F.get(between, i)) + F.octet_length(m) + 1).alias("stop"), m.alias("text")))).alias("out"),
+    # both are worked out once, not for each match
+    beside = F.filter(F.arrays_zip(F.split(line, F.lit(regex), -1).alias("b"), F.regexp_extract_all(line, F.lit(regex), F.lit(0)).alias("m")), lambda x: x["m"].isNotNull())
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.octet_length(x["b"]) + F.octet_length(x["m"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.octet_length(x["b"]) + 1).alias("begin"), (acc["at"] + F.octet_length(x["b"]) + F.octet_length(x["m"]) + 1).alias("stop"), x["m"].alias("text")))).alias("out"),
     )
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,stop:int,text:string>>").alias("out"))
-    indexed = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-    return F.aggregate(indexed, begin, lambda acc, x: step(acc, x["m"], x["i"]), lambda acc: acc["out"])
+    return F.aggregate(beside, begin, step, lambda acc: acc["out"])
 
 
 def any_match(line: Column, regexes: list[str]) -> Column:

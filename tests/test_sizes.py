@@ -89,3 +89,9 @@ def test_scripts_drop_ascii_once(spark, tmp_path):
     assert by_query(spark, tmp_path, "scripts") == by_sql(tmp_path, "scripts")
     plan = spark.range(1).select(F.lit("a").alias("t")).select(scalar.script(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(t") < len(scalar.SCRIPTS)  # only ASCII is looked for in whole texts
+
+
+def test_matches_are_found_once_a_line(spark):
+    plan = spark.createDataFrame([("a the b the",)], "t string").select(search.occurrences(F.col("t"), "the").alias("o"))
+    assert [tuple(x) for x in plan.first().o] == [(3, 6, "the"), (9, 12, "the")]
+    assert plan._jdf.queryExecution().analyzed().toString().count("split(t") == 1
