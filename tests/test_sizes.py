@@ -95,3 +95,13 @@ def test_matches_are_found_once_a_line(spark):
     plan = spark.createDataFrame([("a the b the",)], "t string").select(search.occurrences(F.col("t"), "the").alias("o"))
     assert [tuple(x) for x in plan.first().o] == [(3, 6, "the"), (9, 12, "the")]
     assert plan._jdf.queryExecution().analyzed().toString().count("split(t") == 1
+
+
+def test_skip_and_take_keep_few_rows(spark):
+    lines = sources.from_column(spark.range(1000, 0, -1, 4), "id", F.col("id").cast("string"))
+    got = query(lines, "skip 10 | take 3")
+    assert [r.content for r in got.sorted().collect()] == ["11", "12", "13"]
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    assert [r.content for r in query(lines, "skip 10 | find /5$/ | take 2").sorted().collect()] == ["15", "25"]
+    assert [r.content for r in query(lines, "skip 997 | skip 1 | take 9").sorted().collect()] == ["999", "1000"]
