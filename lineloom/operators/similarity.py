@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import checkpointed
+from .batches import pieces
+from .rounds import checkpointed
 
 #: FNV-1a.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -308,18 +310,58 @@ def fuzzy_search(df: DataFrame, column: str, query: str, top: int = 10, least: f
     return values.withColumn("score", hybrid(F.lower("value"), F.lower(F.lit(query)))).filter(F.col("score") >= least).orderBy(F.col("score").desc(), "value").limit(top)
 
 
+#: Factors of a hash of words that knows what is left when letters go; all is modulo 2^64.
+STEP, MIX = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
+
+
+def _keys_of(words: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of what remains of words of one length (a row of code points each) with up to most letters left out, a row for each word."""
+    letters = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
+    letters = (letters ^ letters >> np.uint64(31)) * np.uint64(MIX)
+    n, size = letters.shape
+    up = np.array([pow(STEP, i, 1 << 64) for i in range(size)], np.uint64)
+    down = [np.uint64(pow(STEP, -i, 1 << 64)) for i in range(most + 1)]
+    sums = np.zeros((size + 1, n), np.uint64)
+    np.cumsum((letters * up).T, axis=0, out=sums[1:])
+    out = []
+    for k in range(min(most, size) + 1):
+        for gone in combinations(range(size), k):
+            ends, begins = (*gone, size), (0, *(i + 1 for i in gone))
+            out.append(sum((sums[e] - sums[b]) * down[i] for i, (b, e) in enumerate(zip(begins, ends, strict=True))))
+    return np.array(out).T
+
+
+def _with_keys(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0)
+            sizes = pc.utf8_length(words).to_numpy()
+            for size in np.unique(sizes).tolist():
+                same = np.flatnonzero(sizes == size)
+                at_once = max((1 << 20) // (size**most + 1), 1)
+                for at in range(0, len(same), at_once):
+                    some = words.take(pa.array(same[at : at + at_once]))
+                    points = np.frombuffer("".join(some.to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(some), size)
+                    keys = np.sort(_keys_of(points, most), axis=1)
+                    new = np.ones(keys.shape, bool)
+                    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    rows, _ = np.nonzero(new)
+                    yield from pieces({batch.schema.names[0]: some.take(pa.array(rows)), "key": keys[new].view(np.int64)})
+
+    return run
+
+
 def suggestions(words: DataFrame, dictionary: DataFrame, most: int = 2, top: int = 3) -> DataFrame:
     """word, suggestion, distance: for words (word) outside the dictionary (word), near ones in it.
 
-    Both sides are joined on what remains of a word with up to `most` letters left out, which near words share.
+    Both sides are joined on hashes of what remains of a word with up to `most` letters left out, which near words share;
+    words that only share a hash go by their distance.
     """
     def shortened(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(F.col(name))
-        for _ in range(most):
-            keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(k), F.lit(1))), lambda i: F.concat(F.substr(k, F.lit(1), i - 1), F.substr(k, i + 1)))))))
-        return df.select(name, F.explode(keys).alias("key"))
+        return df.filter(F.col(name).isNotNull()).mapInArrow(_with_keys(most), f"{name} string, key long")
 
-    unknown = words.select(F.col("word").alias("w")).distinct().join(dictionary.select(F.col("word").alias("w")), "w", "left_anti")
+    longest = F.broadcast(dictionary.agg(F.max(F.length("word")).alias("longest")))  # one row; words that are too long for all of it have the most keys
+    unknown = words.select(F.col("word").alias("w")).distinct().join(dictionary.select(F.col("word").alias("w")), "w", "left_anti").join(longest).filter(F.length("w") <= F.col("longest") + most).select("w")
     near = shortened(unknown, "w").join(shortened(dictionary.select(F.col("word").alias("d")).distinct(), "d"), "key").select("w", "d").distinct()
     scored = near.withColumn("distance", F.levenshtein("w", "d", most)).filter("distance >= 0").withColumn("same_sound", soundex(F.col("w")) == soundex(F.col("d")))
     order = Window.partitionBy("w").orderBy(F.col("same_sound").desc(), "distance", "d")

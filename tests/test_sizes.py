@@ -1,13 +1,14 @@
 """What must not grow with tables: how often costly columns are made, and memory of workers; queries against their SQL on odd texts."""
 
 import tracemalloc
+from itertools import combinations
 
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lineloom.functions import scalar
-from lineloom.operators import documents, index, search, similarity
+from lineloom.operators import documents, graph, index, search, similarity
 from lineloom.plans import catalogue
 from lineloom.plans.compiler import query
 from lineloom.sources import lines as sources
@@ -97,6 +98,13 @@ def test_matches_are_found_once_a_line(spark):
     assert plan._jdf.queryExecution().analyzed().toString().count("split(t") == 1
 
 
+def test_words_too_long_for_the_dictionary_have_no_keys(spark):
+    words = spark.createDataFrame([("y" * 300,), ("catx",)], "word string")
+    got = similarity.suggestions(words, spark.createDataFrame([("cat",)], "word string"))
+    assert [tuple(r) for r in got.collect()] == [("catx", "cat", 1)]
+    assert "longest" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_skip_and_take_keep_few_rows(spark):
     lines = sources.from_column(spark.range(1000, 0, -1, 4), "id", F.col("id").cast("string"))
     got = query(lines, "skip 10 | take 3")
@@ -105,3 +113,24 @@ def test_skip_and_take_keep_few_rows(spark):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
     assert [r.content for r in query(lines, "skip 10 | find /5$/ | take 2").sorted().collect()] == ["15", "25"]
     assert [r.content for r in query(lines, "skip 997 | skip 1 | take 9").sorted().collect()] == ["999", "1000"]
+
+
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def weight(i):
+        made.add(1)
+        return i
+
+    df = spark.range(20).select((F.col("id") % 5).cast("string").alias("a"), (F.col("id") % 7).cast("string").alias("b"), weight("id").alias("weight"))
+    assert graph.degree_centrality(df).count() == 7 and made.value == 20
+    assert graph.pagerank(df, iterations=2).count() == 7 and made.value == 40
+
+
+def test_keys_of_words(spark):
+    words = ["banana", "banona", "aa", "a", "", "x漢y"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").mapInArrow(similarity._with_keys(2), "w string, key long")
+    keys = {w: {r.key for r in df.filter(F.col("w") == w).collect()} for w in words}
+    assert len(keys["banana"]) == len({"".join(c for i, c in enumerate("banana") if i not in g) for k in range(3) for g in combinations(range(6), k)}) and df.count() == sum(map(len, keys.values()))
+    assert keys["banana"] & keys["banona"] and keys[""] <= keys["aa"] & keys["a"] and not keys["x漢y"] & keys["banana"]
