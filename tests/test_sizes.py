@@ -78,6 +78,15 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_what_is_shuffled_does_not_hold_words(spark):
+    """One exchange brings an id's texts together; behind it words and trigrams stay where they are."""
+    df = spark.createDataFrame(list(enumerate(ODD)) + [(0, "One a. a b."), (None, "b b")], "id long, text string")
+    assert exchanges(index.build(df, "id", "text")) == 1 and exchanges(documents.summary(df, "id", "text", 2)) == 1
+    assert exchanges(documents.keywords(df, "id", "text", 2)) <= 2
+    kept = {r.id: r.word for r in documents.keywords(df, "id", "text", 1).collect()}
+    assert kept[0] == "a" and None not in kept and index.build(df, "id", "text").count() == index.build(df, "id", "text").distinct().count()
+
+
 def test_summary_of_an_ids_texts(spark):
     df = spark.createDataFrame([(1, "a a a. b c. b c. d e."), (2, "..."), (3, None), (4, "x. y. z."), (None, "q.")], "id long, text string")
     assert {tuple(r) for r in documents.summary(df, "id", "text", 2).collect()} == {(1, "a a a. d e."), (4, "x. y.")}
